@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.llm.decontaminate import contamination
+from gaugewright.llm.fingerprint import version_fingerprints
 from gaugewright.llm.ngram_join import jaccard_components
 
 
@@ -24,8 +25,12 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_universe_partition": op5_universe_partition, "op8_winnowing": op8_winnowing}
+    return {"op5_universe_partition": op5_universe_partition, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch}
 
 
 def oracle_sql() -> dict[str, str]:

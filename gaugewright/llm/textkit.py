@@ -79,8 +79,8 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Words:
-    """Maximal runs of member bytes within each text, hashed with A-Z in lower case."""
+def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, longest: int = 0) -> Words:
+    """Maximal runs of member bytes within each text, hashed with A-Z in lower case; with ``longest``, longer ones in pieces of so many bytes."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -94,6 +94,12 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Words:
     closes[1:n] = inside[:-1] & (~inside[1:] | opens[1:])
     closes[n] = inside[-1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes)
+    if longest and ((end - start) > longest).any():
+        pieces = (end - start + longest - 1) // longest
+        begin = np.cumsum(pieces) - pieces
+        nth = np.arange(int(pieces.sum())) - np.repeat(begin, pieces)
+        start, end = np.repeat(start, pieces) + nth * longest, np.repeat(end, pieces)
+        end = np.minimum(end, start + longest)
     power, inverse = _power(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER_VALUE[data] * power[:n], out=total[1:])
