@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 from gaugewright.llm import textkit
 from gaugewright.llm.ordered import NO_ID, cut_points, range_of
 
-#: Cells of a sub-table of the stored sketch; growth of a retry; a word ends a paragraph piece if its hash is a multiple of CUT; bytes of a word, longer ones are several.
+#: Cells of a sub-table of the stored sketch; growth of a retry; a word ends a paragraph piece if its hash is a multiple of CUT; most words of a piece; bytes of a word, longer ones are several.
 CELLS = 8
 GROWTH = 4
 CUT = 4
+PIECE = 16
 LONGEST = 16
 _TEXT_BYTES = 4 << 20
 
@@ -45,7 +46,8 @@ def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         opens[1:] = (lines[found.start[1:]] != lines[found.end[:-1]]) | (found.hash[:-1] % np.uint64(CUT) == 0)
         opens[found.first[:-1][found.first[:-1] < n]] = True
         begin = np.flatnonzero(opens)
-        place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+        place = (np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))) % PIECE
+        begin = np.flatnonzero(place == 0)
         digest = np.add.reduceat(textkit.mix(found.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin)
         first = np.searchsorted(begin, found.first)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
