@@ -28,4 +28,4 @@ def range_of(value: Column, cuts: list[int]) -> Column:
     below = lambda bounds: F.size(F.filter(bounds, lambda x: x < value))
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     group = below(longs([g[-1] for g in groups]))
-    return (group * step + F.coalesce(F.when(group < len(groups), below(F.get(F.array(*map(longs, groups)), group))), F.lit(0))).cast("int")
+    return F.when(group == len(groups), len(cuts)).otherwise(group * step + below(F.get(F.array(*[longs(g) for g in groups]), group))).cast("int")
