@@ -82,8 +82,12 @@ def allocation(edges: list[int], counts: dict[int, int], percent: int) -> list[t
         near, size = sum(counts.get(band + i, 0) for i in (0, 1)), (edges[band] + upper) / 2
         spare = 4 + most // 8
         exact, deleting = most + 1 + spare, (most + 2) // 2
-        # sets times signatures, and twenty times the pairs that share an empty segment by chance
-        cost_exact = near * exact + 20 * near**2 * exact * math.exp(-2 * size / exact)
+        # sets times signatures, and twenty times the pairs that share an empty segment by chance and may not leave it
+        empty, term, few = exact * math.exp(-size / exact), 1.0, 0.0
+        for k in range(spare + 1):
+            few += term
+            term *= empty / (k + 1)
+        cost_exact = near * exact + 20 * (near * max(0.0, 1 - few * math.exp(-empty))) ** 2 * empty
         cost_deleting = near * (size + deleting) + 20 * near**2 * deleting * (1 + size / deleting) ** 2 * math.exp(-2 * size / deleting)
         out.append((exact, 0, spare) if cost_exact <= cost_deleting else (deleting, deleting - (2 * deleting - most - 1), 0))
     return out
