@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.llm.decontaminate import contamination
 from gaugewright.llm.fingerprint import version_fingerprints
 from gaugewright.llm.ngram_join import jaccard_components
+from gaugewright.llm.tokenfile import read_token_files, write_token_files
+from gaugewright.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,12 @@ def op5_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold != 2)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -29,8 +38,13 @@ def op9_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op10_ranked_varbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, by_rank = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(files, by_rank).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_universe_partition": op5_universe_partition, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch}
+    return {"op5_universe_partition": op5_universe_partition, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,12 +32,13 @@ _LOWER_VALUE = _BYTE[_LOWER]
 
 
 class Words(NamedTuple):
-    """Words of a chunk of texts: byte spans and hashes; first[i]:first[i+1] are those of the chunk's text i."""
+    """Words of a chunk of texts: byte spans and hashes; first[i]:first[i+1] are those of the chunk's text i; hashes of their first bytes."""
 
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    heads: list[np.ndarray]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,12 +80,15 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, longest: int = 0) -> Words:
-    """Maximal runs of member bytes within each text, hashed with A-Z in lower case; with ``longest``, longer ones in pieces of so many bytes."""
+def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, longest: int = 0, heads: tuple[int, ...] = ()) -> Words:
+    """Maximal runs of member bytes within each text, hashed with A-Z in lower case; with ``longest``, longer ones in pieces of so many bytes.
+
+    heads: numbers of first bytes to hash besides the whole word (a shorter word: all of it).
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64))
+        return Words(none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64), [none.astype(np.uint64) for _ in heads])
     inside = member[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -103,7 +107,8 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, longest: in
     power, inverse = _power(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER_VALUE[data] * power[:n], out=total[1:])
-    return Words(start, end, mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), np.searchsorted(start, offsets))
+    upto = lambda last: mix((total[last] - total[start]) * inverse[start] + (last - start).astype(np.uint64))
+    return Words(start, end, upto(end), np.searchsorted(start, offsets), [upto(np.minimum(start + k, end)) for k in heads])
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
