@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugewright.llm.decontaminate import contamination
 from gaugewright.llm.fingerprint import version_fingerprints
 from gaugewright.llm.ngram_join import jaccard_components
+from gaugewright.llm.pii import KINDS, personal_data
 from gaugewright.llm.tokenfile import read_token_files, write_token_files
 from gaugewright.llm.toxicity import toxicity
 
@@ -19,6 +20,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in KINDS]
+    counts = [(F.size("spans") - n).cast("long").alias(f"n_{k}") for k, n in zip(KINDS, counts, strict=True)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -44,7 +55,7 @@ def op10_ranked_varbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_universe_partition": op5_universe_partition, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
+    return {"op4_disclosure": op4_disclosure, "op5_universe_partition": op5_universe_partition, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
 
 
 def oracle_sql() -> dict[str, str]:
