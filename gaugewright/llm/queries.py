@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewright.llm.chat import as_events, read_back, reconstruct
 from gaugewright.llm.decontaminate import contamination
 from gaugewright.llm.fingerprint import version_fingerprints
 from gaugewright.llm.ngram_join import jaccard_components
@@ -34,6 +35,13 @@ def op5_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(reconstruct(as_events(rows.unionByName(own))))
+
+
 def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold != 2)
@@ -55,11 +63,11 @@ def op10_ranked_varbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_disclosure": op4_disclosure, "op5_universe_partition": op5_universe_partition, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
+    return {"op4_disclosure": op4_disclosure, "op5_universe_partition": op5_universe_partition, "op6_event_fold": op6_event_fold, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_universe_partition": _OP5, "op8_winnowing": _OP8}
+    return {"op5_universe_partition": _OP5, "op6_event_fold": _OP6, "op8_winnowing": _OP8}
 
 
 _OP5 = """
@@ -76,6 +84,20 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.root AS compo
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+_OP6 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(replace(replace(role, '\', '\\'), '<', '\<')) + length(replace(replace(text, '\', '\\'), '<', '\<')) + 5 + 8 AS chars FROM t)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 _OP8 = """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),
