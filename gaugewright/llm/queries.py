@@ -15,12 +15,18 @@ from gaugewright.llm.ngram_join import jaccard_components
 from gaugewright.llm.pii import KINDS, personal_data
 from gaugewright.llm.tokenfile import read_token_files, write_token_files
 from gaugewright.llm.toxicity import toxicity
+from gaugewright.llm.warc import convert, read_warc, write_arc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_warc(convert(write_arc(_table(spark, sf_dir, "pages"))))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -63,13 +69,22 @@ def op10_ranked_varbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_disclosure": op4_disclosure, "op5_universe_partition": op5_universe_partition, "op6_event_fold": op6_event_fold, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
+    return {"op1_arc_converter": op1_arc_converter, "op4_disclosure": op4_disclosure, "op5_universe_partition": op5_universe_partition, "op6_event_fold": op6_event_fold, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_universe_partition": _OP5, "op6_event_fold": _OP6, "op8_winnowing": _OP8}
+    return {"op1_arc_converter": _OP1, "op5_universe_partition": _OP5, "op6_event_fold": _OP6, "op8_winnowing": _OP8}
 
 
+_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+k AS (SELECT payload_digest, max(page_id) AS kept, count(*) AS n FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN n > 1 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND kept <> page_id THEN kept END AS refers_to
+FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest
+"""
+
 _OP5 = """
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (
