@@ -13,6 +13,9 @@ from gaugewright.llm.decontaminate import contamination
 from gaugewright.llm.fingerprint import version_fingerprints
 from gaugewright.llm.ngram_join import jaccard_components
 from gaugewright.llm.pii import KINDS, personal_data
+from gaugewright.llm.pieces import round_trip
+from gaugewright.llm.shards import ShardStore
+from gaugewright.llm.shared import shared_folder
 from gaugewright.llm.tokenfile import read_token_files, write_token_files
 from gaugewright.llm.toxicity import toxicity
 from gaugewright.llm.warc import convert, read_warc, write_arc
@@ -27,6 +30,17 @@ def op1_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_size_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ShardStore(spark, shared_folder(spark, "shards"))
+    store.append(_table(spark, sf_dir, "documents"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(16)))
+    store.compact()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -69,11 +83,11 @@ def op10_ranked_varbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_arc_converter": op1_arc_converter, "op4_disclosure": op4_disclosure, "op5_universe_partition": op5_universe_partition, "op6_event_fold": op6_event_fold, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
+    return {"op1_arc_converter": op1_arc_converter, "op2_viterbi": op2_viterbi, "op3_size_tiered": op3_size_tiered, "op4_disclosure": op4_disclosure, "op5_universe_partition": op5_universe_partition, "op6_event_fold": op6_event_fold, "op7_convolution": op7_convolution, "op8_winnowing": op8_winnowing, "op9_invertible_sketch": op9_invertible_sketch, "op10_ranked_varbyte": op10_ranked_varbyte}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_arc_converter": _OP1, "op5_universe_partition": _OP5, "op6_event_fold": _OP6, "op8_winnowing": _OP8}
+    return {"op1_arc_converter": _OP1, "op3_size_tiered": _OP3, "op5_universe_partition": _OP5, "op6_event_fold": _OP6, "op8_winnowing": _OP8}
 
 
 _OP1 = """
@@ -85,6 +99,8 @@ SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN n > 1 AND kept <> pag
 FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest
 """
 
+_OP3 = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
 _OP5 = """
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (
