@@ -12,12 +12,15 @@ document ids), then the documents' lengths, their ids as decimal text, the contr
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +32,15 @@ from tokenizers import Tokenizer
 from gaugewright.llm.ordered import NO_ID, cut_points, range_of
 from gaugewright.llm.shared import opened, shared_folder, written
 
-#: Ids of a block (a longer document: its own), and pieces that a worker remembers.
+#: Ids of a block (a longer document: its own), and pieces that a worker remembers before the least recent are forgotten.
 BLOCK_IDS = 1 << 18
-PIECES = 300_000
+PIECES = 400_000
 
 _LENGTHS = np.array([[(c >> (2 * j) & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 _HEAD = struct.Struct("<4q")
-#: Where a text can't be cut at single spaces: white space beside a space, at either end, or of another kind than these.
-_UNEVEN = re.compile(r"[^\S \n]|\n | \n|  |\A | \Z")
+#: Letters on which all versions of Unicode agree, then common punctuation: a pre-tokenizer cuts between the two.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -66,52 +69,108 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out & _MASKS[length]
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others for letters from 256 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in plain]
+    return dict(zip(plain + rest, plain + list(range(256, 256 + len(rest))), strict=True))
+
+
+class _Uneven(Exception):
+    """A piece with white space at an end, where the place of a cut depends on what stands beside it."""
+
+
+class _Pieces(dict):
+    """Ids of pieces after ``lead``, found when they are first asked for and remembered in two generations."""
+
+    def __init__(self, tokenizer: Tokenizer, lead: str, code: str, bare: "_Pieces | None" = None):
+        super().__init__()
+        self.tokenizer, self.model, self.lead, self.code = tokenizer, tokenizer.model, lead, code
+        self.bare = self if bare is None else bare
+        self.letters = byte_letters()
+        self.head = lead.translate(self.letters)
+        self.line = array(code, tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.before: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if (found := self.before.get(piece)) is not None:
+            self[piece] = found
+            return found
+        if plain := _PLAIN.fullmatch(piece):
+            stem, tail = plain.groups()
+            if (found := self.stems.get(stem)) is None:
+                named = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+                found = self.stems[stem] = array(self.code, [t.id for t in self.model.tokenize(self.head + named)]).tobytes()
+            if tail:
+                found += self.bare.tail(tail)
+        elif not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Uneven
+        elif "\n" in piece and "" not in (parts := piece.split("\n")):
+            # a line feed between two other characters is a token of its own
+            found = self.line.join([self[parts[0]], *(self.bare[x] for x in parts[1:])])
+        else:
+            found = array(self.code, self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = found
+        return found
+
+    def tail(self, marks: str) -> bytes:
+        if (found := self.stems.get(marks)) is None:
+            found = self.stems[marks] = array(self.code, [t.id for t in self.model.tokenize(marks)]).tobytes()
+        return found
+
+    def forget(self) -> None:
+        """Keep what was asked for since the last time, if that is much."""
+        if len(self) > PIECES:
+            self.before = dict(self)
+            self.clear()
+        if len(self.stems) > PIECES:
+            self.stems.clear()
+
+
+class Encoder:
+    """Ids of whole texts as the tokenizer in a file gives them, as bytes of unsigned little-endian numbers of ``kind``.
+
+    A byte-level tokenizer cuts a text before a single space between two other characters whatever stands around, and
+    encodes what is between two cuts alone, so ids of such pieces are remembered. Texts with a special token, and those
+    with white space beside a space, or a space at an end, are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        code = {"<u2": "H", "<u4": "I"}[self.kind]
+        self.first = _Pieces(self.tokenizer, "", code)
+        self.later = _Pieces(self.tokenizer, " ", code, self.first)
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not any(s in text for s in self.special):
+            head, *rest = text.split(" ")
+            self.first.forget()
+            self.later.forget()
+            try:
+                return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+            except _Uneven:
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids (unsigned 32-bit, little-endian), as the tokenizer in a file gives them for whole texts.
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept by a worker."""
+    return Encoder(path)
 
-    The tokenizer cuts a text before a space between two other characters whatever stands around, so ids of such pieces are
-    remembered, up to a number of pieces; other texts, and those with a special token, are encoded whole.
-    """
-    tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
-    first: dict[str, bytes] = {}
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(memory: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = list(pieces.difference(memory))
-        if new:
-            memory.update(zip(new, whole([lead + x for x in new]), strict=True))
-
-    def ids(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if t and (_UNEVEN.search(t) or any(s in t for s in special))]
-        for i, found in zip(odd, whole([texts[i] for i in odd]), strict=True):
-            out[i] = found
-        rest = {i: texts[i].split(" ") for i in set(range(len(texts))).difference(odd) if texts[i]}
-        if len(known) > PIECES or len(first) > PIECES:
-            known.clear()
-            first.clear()
-        learn(first, {p[0] for p in rest.values()}, "")
-        learn(known, {x for p in rest.values() for x in p[1:]}, " ")
-        get = known.__getitem__
-        for i, p in rest.items():
-            out[i] = first[p[0]] + b"".join(map(get, p[1:]))
-        return out
-
-    return ids
-
-
-def _block(files: Iterator[tuple[str, np.ndarray]], code: Callable[[np.ndarray], tuple[bytes, bytes]]) -> bytes:
-    """A block of documents: (id as text, ids) of each."""
-    files = list(files)
-    lengths = np.array([len(x) for _, x in files], "<i8")
-    names = "\n".join(n for n, _ in files).encode()
-    control, data = code(np.concatenate([x for _, x in files]))
-    return _HEAD.pack(len(files), int(lengths.sum()), len(data), len(names)) + lengths.tobytes() + names + control + data
+
+def _block(docs: list[tuple[str, np.ndarray]]) -> bytes:
+    """A block of documents: (id as text, ranks) of each."""
+    lengths = np.array([len(x) for _, x in docs], "<i8")
+    names = "\n".join(n for n, _ in docs).encode()
+    control, data = encode_ranks(np.concatenate([x for _, x in docs]))
+    return _HEAD.pack(len(docs), int(lengths.sum()), len(data), len(names)) + lengths.tobytes() + names + control + data
 
 
 def _blocks(uri: str) -> Iterator[tuple[list[str], np.ndarray, bytes, bytes]]:
@@ -135,9 +194,15 @@ def _save(uri: str, blocks: Iterator[bytes]) -> None:
     files.move(draft, path)
 
 
-def _packed(x: np.ndarray) -> tuple[bytes, bytes]:
-    """Staged ids: no control bytes that a reader would miss, compressed."""
-    return bytes(-(-len(x) // 4)), zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _deflated(ids: bytes, kind: str) -> bytes:
+    """Ids with their low bytes first, then the higher, compressed."""
+    width = np.dtype(kind).itemsize
+    return zlib.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def _inflated(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
@@ -153,61 +218,60 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("ord", F.coalesce("doc_id", F.lit(NO_ID)))
     cuts = cut_points(rows.select("ord"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     coded = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ord", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("name", T.StringType()), T.StructField("ids", T.BinaryType())])
-    end = np.array([end_id], "<u4").tobytes()
+    kind = encoder(tokenizer).kind
+    end = np.array([end_id], kind).tobytes()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(tokenizer)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                found = [zlib.compress(np.frombuffer(x + end, np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in ids([x or "" for x in batch.column("text").to_pylist()])]
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                found = [_deflated(ids(x or "") + end, kind) for x in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("ord"), batch.column("tie"), batch.column("doc_id").cast(pa.string()).fill_null(""), pa.array(found, pa.binary())], coded.names)
 
-    def unpacked(x: bytes) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = np.zeros(1, np.int64), [0, 0]
-        part: list[int] = []
-
-        def blocks() -> Iterator[bytes]:
-            nonlocal counts
-            held, n = [], 0
-            for batch in batches:
-                part[:] = [batch.column("part")[0].as_py()] if batch.num_rows else part
-                for name, packed in zip(batch.column("name").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                    held.append((name, x := unpacked(packed)))
-                    n += len(x)
-                    if n >= BLOCK_IDS:
-                        yield flush(held, n)
-                        held, n = [], 0
-            if held:
-                yield flush(held, n)
-
-        def flush(held: list[tuple[str, np.ndarray]], n: int) -> bytes:
-            nonlocal counts
-            more = np.bincount(np.concatenate([x for _, x in held]))
+        counts, docs, path = np.zeros(1, np.int64), 0, ""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not path:
+                # a partition holds one range, so its first row names the file
+                part = batch.column("part")[0].as_py()
+                path = f"{folder}/staged-{part:06d}"
+                files, name = opened(path)
+                files.create_dir(name.rpartition("/")[0], recursive=True)
+                out = files.open_output_stream(draft := f"{name}.{uuid.uuid4().hex}")
+                stream = pa.ipc.new_stream(out, pa.schema([("name", pa.string()), ("ids", pa.binary())]))
+            more = np.bincount(np.concatenate([_inflated(x, kind) for x in batch.column("ids").to_pylist()]))
             if len(more) > len(counts):
                 counts, more = more, counts
             counts[: len(more)] += more
-            sizes[0] += len(held)
-            sizes[1] += n
-            return _block(held, _packed)
-
-        first = next(stream := blocks(), None)
-        if first is None:
-            return
-        # a partition holds one range, so its first row names the file
-        path = f"{folder}/staged-{part[0]:06d}"
-        _save(path, (x for y in ([first], stream) for x in y))
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:1], pa.int32()), pa.array([path]), pa.array(sizes[:1]), pa.array(sizes[1:]), pa.array([used]), pa.array([counts[used]])], ["part", "path", "n_docs", "n_ids", "id", "times"])
+            docs += batch.num_rows
+            stream.write_batch(pa.RecordBatch.from_arrays([batch.column("name"), batch.column("ids")], ["name", "ids"]))
+        if path:
+            stream.close()
+            out.close()
+            files.move(draft, name)
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([docs]), pa.array([int(counts.sum())]), pa.array([used]), pa.array([counts[used]])], ["part", "path", "n_docs", "n_ids", "id", "times"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            for ids, times in zip(batch.column("id").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                for i, n in zip(ids, times, strict=True):
+                    total[i] = total.get(i, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array([list(total)], pa.list_(pa.int64())), pa.array([list(total.values())], pa.list_(pa.int64()))], ["id", "times"])
 
     dealt = rows.withColumn("part", range_of(F.col("ord"), cuts)).withColumn("tie", F.xxhash64("text")).mapInArrow(code, coded)
     staged = written(dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("ord", "tie").mapInArrow(stage, "part int, path string, n_docs long, n_ids long, id array<long>, times array<long>"), "staged")
-    # as many rows as the vocabulary has ids
-    times = staged.select(F.explode(F.arrays_zip("id", "times"))).groupBy("col.id").agg(F.sum("col.times").alias("n")).toPandas()
-    by_rank = times.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32) if len(times) else np.zeros(0, np.uint32)
+    # the counts of about the square root of the number of files are added before they reach the driver, each at most as long as the vocabulary
+    groups = isqrt(len(cuts) + 1) + 1
+    total: dict[int, int] = {}
+    for row in staged.select("part", "id", "times").repartitionById(groups, "part").mapInArrow(added, "id array<long>, times array<long>").toLocalIterator():
+        for i, n in zip(row["id"], row["times"], strict=True):
+            total[i] = total.get(i, 0) + n
+    by_rank = np.array(sorted(total, key=lambda i: (-total[i], i)), np.uint32)
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
     ranks = spark.sparkContext.broadcast(rank)
@@ -218,8 +282,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
             for part, path in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), strict=True):
 
                 def blocks(path: str = path) -> Iterator[bytes]:
-                    for names, lengths, _, data in _blocks(path):
-                        yield _block(zip(names, np.split(ranks.value[unpacked(data)], np.cumsum(lengths)[:-1]), strict=True), encode_ranks)
+                    files, name = opened(path)
+                    held, n = [], 0
+                    with files.open_input_stream(name) as f:
+                        for batch in pa.ipc.open_stream(f):
+                            for name, x in zip(batch.column("name").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                                held.append((name, ranks.value[_inflated(x, kind)]))
+                                n += len(held[-1][1])
+                                if n >= BLOCK_IDS:
+                                    yield _block(held)
+                                    held, n = [], 0
+                    if held:
+                        yield _block(held)
 
                 paths.append(f"{folder}/ids-{part:06d}")
                 _save(paths[-1], blocks())
