@@ -120,6 +120,52 @@ def hits(found: textkit.Words, block: dict[str, np.ndarray], window: int, k: int
     return np.concatenate(starts), np.concatenate(lengths), np.concatenate(docs), np.concatenate(items)
 
 
+class _Index:
+    """The blocks of a benchmark, in files of the shared folder, and what texts share with them."""
+
+    def __init__(self, benchmark: DataFrame, window: int, k: int, block_bytes: int):
+        self.window, self.k = window, k
+        items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+        total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+        self.blocks = -(-total // block_bytes)
+        self.folder = shared_folder(benchmark.sparkSession, "benchmark")
+        for b in range(self.blocks):
+            part = items.where(F.pmod(F.xxhash64("text"), F.lit(self.blocks)) == b).toArrow()
+            files, path = opened(f"{self.folder}/{b}.npz")
+            files.create_dir(path.rpartition("/")[0], recursive=True)
+            with files.open_output_stream(path) as out:
+                out.write(index_block([x if x is not None else "\0" for x in part["item_id"].to_pylist()], part["text"].combine_chunks(), window, k))
+
+    def load(self, b: int) -> dict[str, np.ndarray]:
+        files, path = opened(f"{self.folder}/{b}.npz")
+        with files.open_input_stream(path) as f:
+            return dict(np.load(io.BytesIO(f.read())))
+
+    def scan(self, texts: pa.Array, only: dict[str, np.ndarray] | None) -> tuple[np.ndarray, list[set[str]], list[np.ndarray]]:
+        """(number of words, items, sorted places of hit words) of each text; only: the block, if there is one."""
+        rows = len(texts)
+        n_words, marks, names = np.zeros(rows, np.int64), [[] for _ in range(rows)], [set() for _ in range(rows)]
+        for b in range(max(self.blocks, 1)):
+            block = only or (self.load(b) if self.blocks else None)
+            for lo, hi, data, offsets in textkit.chunks(texts):
+                found = textkit.words(data, offsets, textkit.ALNUM)
+                n_words[lo:hi] = np.diff(found.first)
+                if block is None or not len(found.hash):
+                    continue
+                start, length, doc, item = hits(found, block, self.window, self.k)
+                if not len(start):
+                    continue
+                for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist():
+                    names[lo + d].add(str(block["ids"][i]))
+                change = np.zeros(len(found.hash) + 1, np.int64)
+                np.add.at(change, start, 1)
+                np.add.at(change, start + length, -1)
+                hit = np.cumsum(change)[:-1] > 0
+                for d in np.unique(doc).tolist():
+                    marks[lo + d].append(np.flatnonzero(hit[found.first[d] : found.first[d + 1]]))
+        return n_words, names, [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in marks]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit (words in a shared window), items (their ids as strings, sorted) and runs (first hit word, word after the last).
 
@@ -128,55 +174,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k:
     repeated rows give repeated results; items with one id count as one, and those without an id as
     none, though their words are hit. Other columns of either table are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = -(-total // block_bytes)
-    folder = shared_folder(spark, "benchmark")
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow()
-        files, path = opened(f"{folder}/{b}.npz")
-        files.create_dir(path.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(path) as out:
-            out.write(index_block([x if x is not None else "\0" for x in part["item_id"].to_pylist()], part["text"].combine_chunks(), window, k))
+    index = _Index(benchmark, window, k, block_bytes)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType())))])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def load(b: int) -> dict[str, np.ndarray]:
-            files, path = opened(f"{folder}/{b}.npz")
-            with files.open_input_stream(path) as f:
-                return dict(np.load(io.BytesIO(f.read())))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = index.load(0) if index.blocks == 1 else None
+        for batch in batches:
+            n_words, names, marks = index.scan(batch.column("text"), only)
+            runs = [[[int(x[0]), int(x[-1]) + 1] for x in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)] if len(at) else [] for at in marks]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array([len(x) for x in marks], pa.int64()), pa.array([sorted(x - {"\0"}) for x in names], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.list_(pa.int64())))], schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(find, schema)
 
-        only = load(0) if blocks == 1 else None
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, with all columns, that share no window with the benchmark."""
+    index = _Index(benchmark, window, k, block_bytes)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = index.load(0) if index.blocks == 1 else None
         for batch in batches:
-            rows = batch.num_rows
-            n_words, marks, names = np.zeros(rows, np.int64), [[] for _ in range(rows)], [set() for _ in range(rows)]
-            for b in range(max(blocks, 1)):
-                block = only or (load(b) if blocks else None)
-                for lo, hi, data, offsets in textkit.chunks(batch.column("text")):
-                    found = textkit.words(data, offsets, textkit.ALNUM)
-                    n_words[lo:hi] = np.diff(found.first)
-                    if block is None or not len(found.hash):
-                        continue
-                    start, length, doc, item = hits(found, block, window, k)
-                    for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
-                        names[lo + d].add(str(block["ids"][i]))
-                    if not len(start):
-                        continue
-                    change = np.zeros(len(found.hash) + 1, np.int64)
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + length, -1)
-                    hit = np.cumsum(change)[:-1] > 0
-                    for d in np.unique(doc).tolist():
-                        marks[lo + d].append(np.flatnonzero(hit[found.first[d] : found.first[d + 1]]))
-            spans = []
-            n_hit = np.zeros(rows, np.int64)
-            for r, found_at in enumerate(marks):
-                at = np.unique(np.concatenate(found_at)) if found_at else np.zeros(0, np.int64)
-                n_hit[r] = len(at)
-                cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                spans.append([[int(x[0]), int(x[-1]) + 1] for x in np.split(at, cuts)] if len(at) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([sorted(x - {"\0"}) for x in names], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))], ["doc_id", "n_words", "n_hit", "items", "runs"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+            yield batch.filter(pa.array([not len(x) for x in index.scan(batch.column("text"), only)[2]], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
