@@ -16,7 +16,6 @@ import os
 import re
 import struct
 import uuid
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +23,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +34,7 @@ from gaugewright.llm.shared import opened, shared_folder, written
 
 #: Ids of a block (a longer document: its own), and pieces that a worker remembers before the least recent are forgotten.
 BLOCK_IDS = 1 << 18
-PIECES = 400_000
+PIECES = 700_000
 
 _LENGTHS = np.array([[(c >> (2 * j) & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -45,13 +45,16 @@ _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
-    ranks = ranks.astype("<u4")
-    length = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks = ranks.astype("<u4" if len(ranks) and ranks.max() > 0xFFFF else "<u2")
+    length = 1 + (ranks > 0xFF).astype(np.uint8)
+    width = ranks.itemsize
+    if width == 4:
+        length += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
     code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     code[: len(ranks)] = length - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]].tobytes()
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, width)[np.arange(width) < length[:, None]].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -194,17 +197,6 @@ def _save(uri: str, blocks: Iterator[bytes]) -> None:
     files.move(draft, path)
 
 
-def _deflated(ids: bytes, kind: str) -> bytes:
-    """Ids with their low bytes first, then the higher, compressed."""
-    width = np.dtype(kind).itemsize
-    return zlib.compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes(), 1)
-
-
-def _inflated(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Write the ids of each text, and an end id, in files by ascending doc_id; returns a table of the files and the id of each rank.
 
@@ -222,15 +214,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
     end = np.array([end_id], kind).tobytes()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(tokenizer)
+        ids, deflate = encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                found = [_deflated(ids(x or "") + end, kind) for x in batch.column("text").to_pylist()]
+                found = [deflate(ids(x or "") + end) for x in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("ord"), batch.column("tie"), batch.column("doc_id").cast(pa.string()).fill_null(""), pa.array(found, pa.binary())], coded.names)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs, path = np.zeros(1, np.int64), 0, ""
+        counts, docs, path, inflate = np.zeros(1, np.int64), 0, "", zstandard.ZstdDecompressor().decompress
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -242,7 +234,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
                 files.create_dir(name.rpartition("/")[0], recursive=True)
                 out = files.open_output_stream(draft := f"{name}.{uuid.uuid4().hex}")
                 stream = pa.ipc.new_stream(out, pa.schema([("name", pa.string()), ("ids", pa.binary())]))
-            more = np.bincount(np.concatenate([_inflated(x, kind) for x in batch.column("ids").to_pylist()]))
+            more = np.bincount(np.frombuffer(b"".join(map(inflate, batch.column("ids").to_pylist())), kind))
             if len(more) > len(counts):
                 counts, more = more, counts
             counts[: len(more)] += more
@@ -277,6 +269,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
     ranks = spark.sparkContext.broadcast(rank)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inflate = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             paths = []
             for part, path in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), strict=True):
@@ -287,7 +280,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
                     with files.open_input_stream(name) as f:
                         for batch in pa.ipc.open_stream(f):
                             for name, x in zip(batch.column("name").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                                held.append((name, ranks.value[_inflated(x, kind)]))
+                                held.append((name, ranks.value[np.frombuffer(inflate(x), kind)]))
                                 n += len(held[-1][1])
                                 if n >= BLOCK_IDS:
                                     yield _block(held)
