@@ -3,6 +3,6 @@
 
 def catalogues() -> list:
     """All catalogues of queries."""
-    from gaugewright.plans import evaluation, statistics
+    from gaugewright.plans import evaluation, statistics, tables
 
-    return [evaluation.catalogue, statistics.catalogue]
+    return [evaluation.catalogue, statistics.catalogue, tables.catalogue]
