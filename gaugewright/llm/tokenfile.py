@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 from gaugewright.llm.ordered import NO_ID, cut_points, range_of
 from gaugewright.llm.shared import opened, shared_folder, written
 
-#: Ids of a block (a longer document: its own), and pieces that a worker remembers before the least recent are forgotten.
+#: Ids of a block (a longer document: its own), and pieces that a worker remembers before it begins anew.
 BLOCK_IDS = 1 << 18
-PIECES = 700_000
+PIECES = 1_200_000
 
 _LENGTHS = np.array([[(c >> (2 * j) & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -84,7 +84,7 @@ class _Uneven(Exception):
 
 
 class _Pieces(dict):
-    """Ids of pieces after ``lead``, found when they are first asked for and remembered in two generations."""
+    """Ids of pieces after ``lead``, found when they are first asked for and remembered."""
 
     def __init__(self, tokenizer: Tokenizer, lead: str, code: str, bare: "_Pieces | None" = None):
         super().__init__()
@@ -93,13 +93,9 @@ class _Pieces(dict):
         self.letters = byte_letters()
         self.head = lead.translate(self.letters)
         self.line = array(code, tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
-        self.before: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if (found := self.before.get(piece)) is not None:
-            self[piece] = found
-            return found
         if plain := _PLAIN.fullmatch(piece):
             stem, tail = plain.groups()
             if (found := self.stems.get(stem)) is None:
@@ -123,11 +119,10 @@ class _Pieces(dict):
         return found
 
     def forget(self) -> None:
-        """Keep what was asked for since the last time, if that is much."""
+        """Begin anew where too much is remembered; common pieces come back soon."""
         if len(self) > PIECES:
-            self.before = dict(self)
             self.clear()
-        if len(self.stems) > PIECES:
+        if len(self.stems) > PIECES // 2:
             self.stems.clear()
 
 
