@@ -134,7 +134,7 @@ class _Index:
             files, path = opened(f"{self.folder}/{b}.npz")
             files.create_dir(path.rpartition("/")[0], recursive=True)
             with files.open_output_stream(path) as out:
-                out.write(index_block([x if x is not None else "\0" for x in part["item_id"].to_pylist()], part["text"].combine_chunks(), window, k))
+                out.write(index_block(["" if x is None else f"={x}" for x in part["item_id"].to_pylist()], part["text"].combine_chunks(), window, k))
 
     def load(self, b: int) -> dict[str, np.ndarray]:
         files, path = opened(f"{self.folder}/{b}.npz")
@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k:
         for batch in batches:
             n_words, names, marks = index.scan(batch.column("text"), only)
             runs = [[[int(x[0]), int(x[-1]) + 1] for x in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)] if len(at) else [] for at in marks]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array([len(x) for x in marks], pa.int64()), pa.array([sorted(x - {"\0"}) for x in names], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.list_(pa.int64())))], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array([len(x) for x in marks], pa.int64()), pa.array([sorted(i[1:] for i in x if i) for x in names], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.list_(pa.int64())))], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(find, schema)
 
@@ -194,7 +194,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = index.load(0) if index.blocks == 1 else None
-        for batch in batches:
+        for batch in textkit.slices(batches):
             yield batch.filter(pa.array([not len(x) for x in index.scan(batch.column("text"), only)[2]], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
