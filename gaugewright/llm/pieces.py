@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Units that a worker remembers before the least recent are forgotten.
-UNITS = 400_000
+#: Units that a worker remembers before it begins anew; other stages' tasks run in the same worker later, beside what is remembered.
+UNITS = 250_000
 _UNIT = re.compile(r" +[^ ]*")
 
 
@@ -49,7 +49,6 @@ class Vocabulary(dict):
         self.single = frozenset(p for p in self.normal if len(p) == 1)
         named = {i: bytes([b]) for b, i in self.byte.items()} | {i: p.replace(MARK, " ").encode() for p, i in self.normal.items()}
         self.raw = [named.get(i, b"") for i in ids]
-        self.before: dict[str, bytes] = {}
 
     def segmented(self, unit: str) -> tuple[float, list[int]]:
         """The best score of a space and a unit, and the ids of that segmentation; of equal scores that with the longer last piece."""
@@ -92,15 +91,12 @@ class Vocabulary(dict):
             best[k + 1], length[k + 1], piece[k + 1] = total, 1, -1
 
     def __missing__(self, unit: str) -> bytes:
-        if (found := self.before.get(unit)) is None:
-            found = array("I", self.segmented(unit)[1]).tobytes()
-        self[unit] = found
+        found = self[unit] = array("I", self.segmented(unit)[1]).tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a text; none for an empty one."""
         if len(self) > UNITS:
-            self.before = dict(self)
             self.clear()
         if not text:
             return b""

@@ -80,6 +80,13 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that copies of their texts take little memory."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, longest: int = 0, heads: tuple[int, ...] = ()) -> Words:
     """Maximal runs of member bytes within each text, hashed with A-Z in lower case; with ``longest``, longer ones in pieces of so many bytes.
 
