@@ -43,7 +43,8 @@ def _columns(df: DataFrame, columns: list[str], *make) -> DataFrame:
 
 def _entries(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) of all cells as text."""
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("e")).select("e.column", "e.value")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]).cast("array<struct<column:string,value:string>>")
+    return df.select(F.explode(cells).alias("e")).select("e.column", "e.value")
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     columns = df.columns if columns is None else columns
     values = _entries(df, columns).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     found = values.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top"), F.sum("n").alias("n_values"))
-    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # a row a column
     return named.join(F.broadcast(found), "column", "left").na.fill(0).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n_rows"))))
 
 
@@ -152,13 +153,13 @@ def leakage_pearson(df: DataFrame, target: str, row_id: str, least: float = 0.95
     else:
         coded = df.withColumn("code_", F.col(target).cast("double"))
     parts = [F.struct(F.lit(c).alias("column"), safe_corr(c, "code_").alias("correlation")) for c in numeric_columns(df) if c != target]
-    return coded.agg(F.array(*parts).alias("c")).select(F.inline("c")).withColumn("leaks", F.coalesce(F.abs("correlation") > least, F.lit(False)))
+    return coded.agg(F.array(*parts).cast("array<struct<column:string,correlation:double>>").alias("c")).select(F.inline("c")).withColumn("leaks", F.coalesce(F.abs("correlation") > least, F.lit(False)))
 
 
 def leakage_separation(df: DataFrame, target: str) -> DataFrame:
     """Text columns of several values each of which has one class alone: perfect separation."""
     columns = [c for c in text_columns(df) if c != target]
-    cells = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("e")).select("y", "e.*").where("value is not null")
+    cells = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]).cast("array<struct<column:string,value:string>>")).alias("e")).select("y", "e.*").where("value is not null")
     values = cells.groupBy("column", "value").agg(F.min("y").alias("low"), F.max("y").alias("high"))
     return values.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"), F.min(F.col("low") == F.col("high")).alias("pure")).select("column", "n_values", (F.col("pure") & (F.col("n_values") > 1)).alias("separates"))
 
