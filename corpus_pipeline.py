@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.llm.decontaminate import decontaminated
 from gaugewright.llm.ngram_join import BROADCAST_IDS, jaccard_components
-from gaugewright.llm.pieces import decoded, encoded
+from gaugewright.llm.pieces import round_trip
 from gaugewright.llm.pii import sanitised
 from gaugewright.llm.shared import written
 from gaugewright.llm.toxicity import without_toxic
@@ -19,17 +19,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """docs with a column row_ that tells rows apart: doc_id, or for rows without one or with one that others have too, a number below all ids."""
+    ids = docs.groupBy("doc_id").count()
+    if not ids.where("doc_id is null or count > 1").limit(1).count():
+        return docs.withColumn("row_", F.col("doc_id"))
+    low = min(0, docs.agg(F.min("doc_id")).first()[0] or 0)
+    again = ids.where("doc_id is not null and count > 1").select("doc_id", F.lit(True).alias("again_"))
+    own = F.when(F.col("doc_id").isNull() | F.col("again_"), F.lit(low - 1) - F.monotonically_increasing_id()).otherwise(F.col("doc_id"))
+    return written(docs.join(again, "doc_id", "left").withColumn("row_", own).drop("again_"), "identified")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that 5-word shingles link at a similarity of 0.8, the one with the smallest doc_id, once; rows without doc_id get a negative one to compare by."""
-    named = docs.withColumn("doc_id", F.coalesce("doc_id", -1 - F.monotonically_increasing_id()))
-    found = written(jaccard_components(named, n=5, percent=80), "components")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Of documents that 5-word shingles link at a similarity of 0.8, the one with the smallest doc_id; repeated rows are documents of a group."""
+    named = _identified(docs)
+    found = written(jaccard_components(named.select(F.col("row_").alias("doc_id"), "text"), n=5, percent=80), "components")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("row_"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if again.limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))
+    return named.join(gone, "row_", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and text_sha256, that of the decoded text."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return decoded(encoded(docs, model), model).select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("text_sha256"))
+    return round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontamination), ("pii", personal_data), ("sentencepiece", sentence_pieces)]
