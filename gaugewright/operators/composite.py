@@ -77,3 +77,9 @@ def ranking(frame: DataFrame, keys: list[str] = ["dataset"]) -> DataFrame:  # no
 def top(frame: DataFrame, k: int = 3, keys: list[str] = ["dataset"]) -> DataFrame:  # noqa: B006
     """The k best models of each key."""
     return ranking(frame, keys).where(F.col("position") <= k)
+
+
+def against_saved(frame: DataFrame, saved: DataFrame, keys: list[str] = ["dataset"]) -> DataFrame:  # noqa: B006
+    """Scores beside saved ones (keys, model, cbs) and their difference; null where none was saved."""
+    before = saved.select(*keys, "model", F.col("cbs").alias("saved_cbs"))
+    return frame.select(*keys, "model", "cbs").join(before, [*keys, "model"], "left").withColumn("difference", F.col("cbs") - F.col("saved_cbs"))

@@ -59,6 +59,14 @@ def risk(statistics: DataFrame, fold_leaks: DataFrame, n_classes: int) -> DataFr
     return found.select("n_groups", "unique_ratio", "mean_size", "pct_rows_repeated", "cv_pct", advice.alias("recommendation"), sure.alias("confidence"))
 
 
+def verdict(risks: DataFrame) -> DataFrame:
+    """One recommendation for a table from those of its columns (column, recommendation): the strongest group one by column order, else safe; safe too without columns."""
+    group = F.col("recommendation").contains("GroupKFold")
+    first = F.min(F.when(group, F.struct((~F.col("recommendation").startswith("Stratified")).cast("int").alias("weaker"), "column", "recommendation")))
+    found = risks.agg(first.alias("g"), F.count(F.lit(1)).alias("n_columns"))
+    return found.select("n_columns", F.coalesce("g.recommendation", F.lit("Safe for current StratifiedKFold")).alias("recommendation"), F.when(F.col("g").isNull(), "HIGH").otherwise("MEDIUM").alias("confidence"))
+
+
 def runtime_estimate(tables: DataFrame, *, folds: int = 25) -> DataFrame:
     """Estimated seconds of five models over (dataset, n_rows, n_features), and a cost class."""
     size, wide = F.col("n_rows") / 1000.0, F.col("n_features") / 10.0

@@ -197,4 +197,16 @@ def proxy_audit(parts: DataFrame, frame: DataFrame, weights: dict[str, float] =
     return _audited(raw.join(frame.select("dataset", "model", F.col("cbs").alias("norm")), ["dataset", "model"]).withColumn("metric", F.lit("cbs_proxy")))
 
 
-__all__ = ["agreement", "correlations", "dirichlet_weights", "dominance", "grid_agreement", "minmax", "monte_carlo", "noise_perturbations", "noise_table", "normalization_audit", "proxy_audit", "redundancy", "sensitivity_ranking", "small_perturbations", "weight_grid", "weight_grid_vectors"]
+
+def cross_domain(monte_carlo_: DataFrame, audit: DataFrame, agreed: DataFrame, dominance_: DataFrame) -> DataFrame:
+    """A row a dataset: greatest top-1 probability, mean spread of the score, compression and rank agreement of normalisation, agreement over the weight grid, and the mean leave-one-out impact with the component of the greatest."""
+    parts = [
+        monte_carlo_.groupBy("dataset").agg(F.max("top1_probability").alias("top1_probability"), F.avg("cbs_std").alias("cbs_std")),
+        audit.groupBy("dataset").agg(F.avg("compression_ratio").alias("compression_ratio"), F.avg("rank_correlation").alias("rank_correlation")),
+        agreed.groupBy("dataset").agg(F.avg("spearman").alias("weight_agreement")),
+        dominance_.groupBy("dataset").agg(F.avg("mean_leave_one_out_impact").alias("mean_impact"), F.min_by("metric", F.struct(-F.round("mean_leave_one_out_impact", 12), "metric")).alias("top_metric")),
+    ]
+    return reduce(lambda a, b: a.join(b, "dataset", "left"), parts)
+
+
+__all__ = ["agreement", "correlations", "cross_domain", "dirichlet_weights", "dominance", "grid_agreement", "minmax", "monte_carlo", "noise_perturbations", "noise_table", "normalization_audit", "proxy_audit", "redundancy", "sensitivity_ranking", "small_perturbations", "weight_grid", "weight_grid_vectors"]

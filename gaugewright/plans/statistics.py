@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugewright.operators import robustness, significance
+from gaugewright.operators import composite, robustness, significance
 from gaugewright.operators.composite import COMPONENTS, WEIGHTS
 from gaugewright.plans.base import Catalogue, Inputs
 from gaugewright.sources.tables import strict_matrix
@@ -126,3 +126,6 @@ add(
     "multidataset_friedman", "n_models:l n_observations:l statistic:d df:l p_value:d significant", lambda t: significance.friedman(t.scores.groupBy("dataset", "model").agg(F.avg("score").alias("score")).select(F.lit("all").alias("group"), F.col("dataset").alias("obs"), "model", "score"), ["group"]), "sc",
     _FRIEDMAN.replace("{rr}", "(SELECT 'all' AS dataset, model, rank() OVER (PARTITION BY dataset ORDER BY round(score, 12) DESC) + (count(*) OVER (PARTITION BY dataset, round(score, 12)) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY dataset, round(score, 12)) AS tied FROM (SELECT dataset, model, avg(score) AS score FROM sc GROUP BY ALL))"),
 )
+
+add("cbs_saved_vs_recomputed", "dataset model cbs:d saved_cbs:d difference:d", lambda t: composite.against_saved(t.frame, t.frame.where("model <> '5-LOW'").select("dataset", "model", F.round(F.col("cbs") + 3.1e-10, 3).alias("cbs"))), "frame", "SELECT dataset, f.model, cbs, CASE WHEN f.model <> '5-LOW' THEN round(cbs + 3.1e-10::DOUBLE, 3) END AS saved_cbs, CASE WHEN f.model <> '5-LOW' THEN cbs - round(cbs + 3.1e-10::DOUBLE, 3) END AS difference FROM frame f")
+add("cross_domain_rollup", "dataset top1_probability:d cbs_std:d compression_ratio:d rank_correlation:d weight_agreement:d mean_impact:d top_metric", lambda t: robustness.cross_domain(robustness.monte_carlo(t.frame, robustness.dirichlet_weights(t.spark, 2000)), robustness.normalization_audit(t.parts, t.frame), robustness.grid_agreement(robustness.weight_grid(t.frame)), robustness.dominance(t.frame)))

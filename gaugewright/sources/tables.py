@@ -136,3 +136,13 @@ class DatasetRegistry:
         if read is None:
             return read_csv(spark, entry.path, entry.target, remediation=entry.remediation, **options)
         return entry.remediation(read) if entry.remediation else read
+
+
+def default_registry(folder: str) -> DatasetRegistry:
+    """A catalogue with the two datasets that need remediation, in a folder."""
+    from gaugewright.operators import clean
+
+    found = DatasetRegistry()
+    found.register("Financial", Dataset(f"{folder}/Financial.csv", "Payment_Behaviour", remediation=lambda df: clean.remediate_financial(df)[0]))
+    found.register("heart", Dataset(f"{folder}/heart.csv", "target", remediation=lambda df: clean.remediate_heart(df)[0]))
+    return found
