@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.columns import avg_rank, clip, safe_corr, t_two_sided
-from gaugewright.operators.composite import COMPONENTS, WEIGHTS, minmax, normalized_weights, raw_scores, weighted
+from gaugewright.operators.composite import COMPONENTS, WEIGHTS, normalized_weights, raw_scores, weighted
 
 LEVELS = (0.05, 0.10, 0.20)
 
@@ -209,4 +209,4 @@ def cross_domain(monte_carlo_: DataFrame, audit: DataFrame, agreed: DataFrame, d
     return reduce(lambda a, b: a.join(b, "dataset", "left"), parts)
 
 
-__all__ = ["agreement", "correlations", "cross_domain", "dirichlet_weights", "dominance", "grid_agreement", "minmax", "monte_carlo", "noise_perturbations", "noise_table", "normalization_audit", "proxy_audit", "redundancy", "sensitivity_ranking", "small_perturbations", "weight_grid", "weight_grid_vectors"]
+__all__ = ["agreement", "correlations", "cross_domain", "dirichlet_weights", "dominance", "grid_agreement", "monte_carlo", "noise_perturbations", "noise_table", "normalization_audit", "proxy_audit", "redundancy", "sensitivity_ranking", "small_perturbations", "weight_grid", "weight_grid_vectors"]
