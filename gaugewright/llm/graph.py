@@ -40,23 +40,40 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
+#: Edges of a node from which it is joined by broadcast, at least; and so many such nodes at most.
+HOT_EDGES, HOT_NODES = 1000, 1000
+
+
+def _with_least(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (a, b) with low, the least b of their a.
+
+    A node of very many edges would meet them in one task, so those above HOT_EDGES, and above a share of all
+    edges that only HOT_NODES nodes can reach, are joined where their edges are.
+    """
+    bound = max(HOT_EDGES, count // HOT_NODES)
+    least = edges.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("degree"))
+    hot = F.broadcast(least.where(F.col("degree") > bound).select("a", "low"))
+    cold = edges.join(hot.select("a"), "a", "left_anti").join(least.where(F.col("degree") <= bound).select("a", "low"), "a")
+    return cold.unionByName(edges.join(hot, "a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b; longs): root is the least node of its component.
 
     Each partition first keeps a spanning forest of its edges. Then large-star and small-star steps
-    alternate until the edges no longer change, logarithmically many times; every step is two shuffles
-    with partial aggregation, and a node of very many edges is split as a skewed join side.
+    alternate until the edges no longer change, logarithmically many times.
     """
     now = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"))
-    mark = None
+    count, mark = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("low"))
-        moved = large.join(lower, "a")
-        now = checkpointed(moved.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(lower.select("a", F.col("low").alias("b"))).where("a != b").distinct())
+        large = _with_least(both, 2 * count).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a != b").distinct()
+        large = checkpointed(large)
+        moved = _with_least(large, count)
+        parents = large.groupBy("a").agg(F.min("b").alias("b"))
+        now = checkpointed(moved.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(parents).where("a != b").distinct())
         before, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first()
+        count = mark[0]
         if before == mark:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from gaugewright.llm import ngram_join
+from gaugewright.llm import graph, ngram_join
 from gaugewright.llm.graph import components
 from gaugewright.llm.ngram_join import allocation, band_edges, jaccard_components, link_block
 
@@ -115,3 +115,10 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert {got[i] for i in range(51)} == {0} and {got[200 + i] for i in range(30)} == {100}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_EDGES", 5)
+    edges = spark.createDataFrame([(500, i) for i in range(100)] + [(i, 1000 + i) for i in range(40)] + [(3000, 3001)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert {got[i] for i in [*range(100), 500, *range(1000, 1040)]} == {0} and got[3001] == 3000
