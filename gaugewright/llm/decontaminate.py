@@ -185,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k:
             runs = [[[int(x[0]), int(x[-1]) + 1] for x in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)] if len(at) else [] for at in marks]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array([len(x) for x in marks], pa.int64()), pa.array([sorted(i[1:] for i in x if i) for x in names], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.list_(pa.int64())))], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(find, schema)
+    return docs.select("doc_id", "text").mapInArrow(textkit.tidy(find), schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
@@ -197,4 +197,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k
         for batch in textkit.slices(batches):
             yield batch.filter(pa.array([not len(x) for x in index.scan(batch.column("text"), only)[2]], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(textkit.tidy(keep), docs.schema)

@@ -215,4 +215,4 @@ def version_fingerprints(docs: DataFrame) -> DataFrame:
                     pa.array(likeness(plain, changed, rows, np.arange(len(rows)))), pa.array(likeness(plain, plain, rows, rows - 1)),
                 ], schema.names)
 
-    return with_next(docs, parts).mapInArrow(fingerprints, schema)
+    return with_next(docs, parts).mapInArrow(textkit.tidy(fingerprints), schema)

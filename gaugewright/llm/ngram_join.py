@@ -213,7 +213,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
                 size[row], key[row] = len(x), _key(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(key, mask=size == 0)], ["doc_id", "n_shingles", "key"])
 
-    narrow = written(docs.mapInArrow(sized, T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType())])), "sizes")
+    narrow = written(docs.mapInArrow(textkit.tidy(sized), T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType())])), "sizes")
     largest = narrow.agg(F.max("n_shingles")).first()[0] or 0
     edges = band_edges(percent, largest)
     bounds = np.array(edges)
@@ -254,7 +254,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), length))], ["sig", "key"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signatures // PARTITION_SIGNATURES))
-    buckets = written(docs.mapInArrow(signed, "sig long, key long").repartition(parts, "sig").mapInArrow(_buckets, "crowd byte, a long, b long"), "buckets")
+    buckets = written(docs.mapInArrow(textkit.tidy(signed), "sig long, key long").repartition(parts, "sig").mapInArrow(textkit.tidy(_buckets), "crowd byte, a long, b long"), "buckets")
     pairs = buckets.where("crowd = 0").select("a", "b").distinct()
     crowded = buckets.where("crowd = 1").select(F.col("a").alias("sig"), F.col("b").alias("key")).withColumn("band", F.col("sig").bitwiseAND(F.lit(0xFF)))
     spare = F.element_at(F.array(*[F.lit(e) for _, _, e in plan]), (F.col("band") + 1).cast("int"))
@@ -278,7 +278,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     # a repeated doc_id may bring other texts; the set of a key is the same whichever row it comes from
     unnamed = narrow.where("doc_id is null").limit(1).count() > 0
     chosen = docs if unnamed else docs.join(some, "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(listed_sets, "key long, tokens array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = written(chosen.mapInArrow(textkit.tidy(listed_sets), "key long, tokens array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = left.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y"))).select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("shared"))
     verified = shared.where(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
@@ -294,10 +294,12 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
         flat = tokens.values.to_numpy()[first[0] : first[-1]] if len(tokens) else np.zeros(0, np.int64)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         found = link_block(table["key"].to_numpy(), first - first[0], flat, percent, None if i == j else table["block"].to_numpy() == i)
+        textkit.released()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     inside = tasks.groupBy("root", "i", "j").applyInArrow(link, "a long, b long")
-    classes = components(verified.unionByName(inside))
+    # written, so no task runs two Python workers
+    classes = components(written(verified.unionByName(inside), "links"))
     named = narrow.join(classes, F.col("key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
     lowest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(lowest, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

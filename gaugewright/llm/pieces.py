@@ -9,6 +9,7 @@ and the segmentations of units are remembered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -18,11 +19,12 @@ import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugewright.llm.textkit import slices, tidy
+
 MARK = "▁"
-#: Units that a worker remembers before it begins anew; other stages' tasks run in the same worker later, beside what is remembered.
+#: Units that a task remembers before it begins anew.
 UNITS = 250_000
 _UNIT = re.compile(r" +[^ ]*")
 
@@ -124,13 +126,12 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                found = [words.encode(x or "") for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], schema.names)
+        for batch in slices(batches, 1000):
+            found = [words.encode(x or "") for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], schema.names)
+        words.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(encode, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), schema)
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -139,15 +140,26 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                texts = pa.array([None if x is None else words.decode(x) for x in batch.column("ids").to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, texts], schema.names)
+        for batch in slices(batches, 1000):
+            texts = pa.array([None if x is None else words.decode(x) for x in batch.column("ids").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], schema.names)
 
-    return rows.mapInArrow(decode, schema)
+    return rows.mapInArrow(tidy(decode), schema)
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, text_sha256) for each row of docs, text_sha256 that of the decoded text."""
-    return decoded(encoded(docs, model), model).select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+    """(doc_id, n_tokens, ids, text_sha256) for each row of docs, text_sha256 that of the text decoded from the ids.
+
+    What encoded and then decoded give, in one Python worker a task.
+    """
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("text_sha256", T.StringType())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(model)
+        for batch in slices(batches, 1000):
+            found = [words.encode(x or "") for x in batch.column("text").to_pylist()]
+            hashes = [hashlib.sha256(words.decode(x).encode()).hexdigest() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary()), pa.array(hashes, pa.string())], schema.names)
+        words.clear()
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(code), schema)

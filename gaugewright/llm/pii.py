@@ -149,7 +149,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of terms that reach GENERALISE for an entity, from the co-occurrence in all of docs."""
     docs = docs.select("text")
     n = docs.count()
-    pairs = written(docs.mapInArrow(_pairs, "entity long, term long, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("docs")), "mentions")
+    pairs = written(docs.mapInArrow(textkit.tidy(_pairs), "entity long, term long, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("docs")), "mentions")
     held = pairs.where("term = 0").groupBy("entity").agg(F.sum("docs").alias("n_entity"))
     both = written(pairs.where("term <> 0").groupBy("entity", "term").agg(F.sum("docs").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS), "shared")
     terms = both.select("term").distinct()
@@ -158,7 +158,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
     for b in range(blocks):
         # bounded by TERMS, by count
         some = np.sort(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()["term"].to_numpy().view(np.uint64))
-        part = docs.mapInArrow(_counter(some), "term long, docs long")
+        part = docs.mapInArrow(textkit.tidy(_counter(some)), "term long, docs long")
         times = part if times is None else times.unionByName(part)
     if times is None:
         return docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
@@ -231,7 +231,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             found = [[dict(zip(("kind", "start", "end", "disclosure"), s, strict=True)) for s in dictionary.spans(t)] if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, typed)], ["doc_id", "spans"])
 
-    return docs.mapInArrow(find, schema)
+    return docs.mapInArrow(textkit.tidy(find), schema)
 
 
 def cleaned(text: str, spans: list[tuple[str, int, int, float]]) -> str:
@@ -260,4 +260,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in batch.schema.names], batch.schema.names)
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(textkit.tidy(clean), schema)

@@ -31,7 +31,8 @@ def op1_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "text_sha256")
 
 
 def op3_size_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ with a handful of numpy passes, so the cost is a few nanoseconds a byte whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
 _rng = np.random.Generator(np.random.PCG64(20240917))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -80,6 +83,23 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, giving memory back to the system after its last batch: a worker runs other tasks later, beside other workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        released()
+
+    return run
+
+
+def released() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Batches of fewer rows, so that copies of their texts take little memory."""
     for batch in batches:

@@ -31,6 +31,7 @@ from tokenizers import Tokenizer
 
 from gaugewright.llm.ordered import NO_ID, cut_points, range_of
 from gaugewright.llm.shared import opened, shared_folder, written
+from gaugewright.llm.textkit import tidy
 
 #: Ids of a block (a longer document: its own), and pieces that a worker remembers before it begins anew.
 BLOCK_IDS = 1 << 18
@@ -250,12 +251,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
                     total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array([list(total)], pa.list_(pa.int64())), pa.array([list(total.values())], pa.list_(pa.int64()))], ["id", "times"])
 
-    dealt = rows.withColumn("part", range_of(F.col("ord"), cuts)).withColumn("tie", F.xxhash64("text")).mapInArrow(code, coded)
-    staged = written(dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("ord", "tie").mapInArrow(stage, "part int, path string, n_docs long, n_ids long, id array<long>, times array<long>"), "staged")
+    dealt = rows.withColumn("part", range_of(F.col("ord"), cuts)).withColumn("tie", F.xxhash64("text")).mapInArrow(tidy(code), coded)
+    staged = written(dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("ord", "tie").mapInArrow(tidy(stage), "part int, path string, n_docs long, n_ids long, id array<long>, times array<long>"), "staged")
     # the counts of about the square root of the number of files are added before they reach the driver, each at most as long as the vocabulary
     groups = isqrt(len(cuts) + 1) + 1
     total: dict[int, int] = {}
-    for row in staged.select("part", "id", "times").repartitionById(groups, "part").mapInArrow(added, "id array<long>, times array<long>").toLocalIterator():
+    for row in staged.select("part", "id", "times").repartitionById(groups, "part").mapInArrow(tidy(added), "id array<long>, times array<long>").toLocalIterator():
         for i, n in zip(row["id"], row["times"], strict=True):
             total[i] = total.get(i, 0) + n
     by_rank = np.array(sorted(total, key=lambda i: (-total[i], i)), np.uint32)
@@ -292,7 +293,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
     if not listed:
         return spark.createDataFrame([], "part int, path string, n_docs long, n_ids long, start long"), by_rank
     files = spark.createDataFrame(listed, "part int, path string, n_docs long, n_ids long").repartitionById(len(cuts) + 1, "part")
-    made = sorted(files.mapInArrow(final, "part int, path string, n_docs long, n_ids long").collect())
+    made = sorted(files.mapInArrow(tidy(final), "part int, path string, n_docs long, n_ids long").collect())
     starts = np.cumsum([0, *(r["n_ids"] for r in made)]).tolist()
     return spark.createDataFrame([(*r, s) for r, s in zip(made, starts, strict=False)], "part int, path string, n_docs long, n_ids long, start long"), by_rank
 
@@ -313,4 +314,4 @@ def read_token_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
                     start += int(ends[-1])
 
     count = max(1, files.count())
-    return files.repartitionById(count, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartitionById(count, "part").mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids binary")
