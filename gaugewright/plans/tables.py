@@ -135,7 +135,7 @@ add(
     "group_leakage_risk", "n_groups:l unique_ratio:d mean_size:d pct_rows_repeated:d cv_pct:d recommendation confidence", lambda t: leakage.risk(leakage.group_statistics(t.table("events"), "user_id"), _event_leaks(t), 5), "",
     f"SELECT *, CASE WHEN category THEN 'Safe for current StratifiedKFold' WHEN genuine AND cv_pct > 80 THEN 'StratifiedGroupKFold recommended' WHEN genuine AND cv_pct > 50 THEN 'GroupKFold recommended' WHEN few THEN 'Safe for current StratifiedKFold' ELSE 'Insufficient evidence' END AS recommendation, CASE WHEN category OR (genuine AND cv_pct > 80) THEN 'HIGH' WHEN genuine AND cv_pct > 50 THEN 'MEDIUM' WHEN few THEN 'HIGH' ELSE 'LOW' END AS confidence FROM (SELECT *, unique_ratio < 0.05 AND n_groups < 30 AS category, mean_size >= 2 AND pct_rows_repeated > 50 AND unique_ratio > 0.01 AS genuine, pct_rows_repeated < 10 OR mean_size < 1.5 AS few FROM (SELECT *, n_groups / n_rows AS unique_ratio, (SELECT avg(pct_rows_leaked) FROM ({_LEAKS})) AS cv_pct FROM ({_STATISTICS})))",
 )
-add("group_leakage_verdict", "n_columns:l recommendation confidence", lambda t: leakage.verdict(leakage.risk(leakage.group_statistics(t.table("events"), "user_id"), _event_leaks(t), 5).withColumn("column", F.lit("user_id"))), "", "SELECT 1 AS n_columns, CASE WHEN mean_size >= 2 AND pct_rows_repeated > 50 AND n_groups / n_rows > 0.01 AND cv > 50 THEN CASE WHEN cv > 80 THEN 'StratifiedGroupKFold recommended' ELSE 'GroupKFold recommended' END ELSE 'Safe for current StratifiedKFold' END AS recommendation, CASE WHEN mean_size >= 2 AND pct_rows_repeated > 50 AND n_groups / n_rows > 0.01 AND cv > 50 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM (SELECT *, (SELECT avg(pct_rows_leaked) FROM (" + _LEAKS + ")) AS cv FROM (" + _STATISTICS + ")) WHERE NOT (n_groups / n_rows < 0.05 AND n_groups < 30)")
+add("group_leakage_verdict", "n_columns:l recommendation confidence", lambda t: leakage.verdict(leakage.risk(leakage.group_statistics(t.table("events"), "user_id"), _event_leaks(t), 5).withColumn("column", F.lit("user_id"))), "", "SELECT 1 AS n_columns, CASE WHEN NOT (n_groups / n_rows < 0.05 AND n_groups < 30) AND mean_size >= 2 AND pct_rows_repeated > 50 AND n_groups / n_rows > 0.01 AND cv > 50 THEN CASE WHEN cv > 80 THEN 'StratifiedGroupKFold recommended' ELSE 'GroupKFold recommended' END ELSE 'Safe for current StratifiedKFold' END AS recommendation, CASE WHEN NOT (n_groups / n_rows < 0.05 AND n_groups < 30) AND mean_size >= 2 AND pct_rows_repeated > 50 AND n_groups / n_rows > 0.01 AND cv > 50 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM (SELECT *, (SELECT avg(pct_rows_leaked) FROM (" + _LEAKS + ")) AS cv FROM (" + _STATISTICS + "))")
 _TABLES = [("customer", 5), ("part", 6), ("orders", 6), ("events", 6)]
 
 
