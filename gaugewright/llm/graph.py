@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.shared import checkpointed
+from gaugewright.llm.shared import removed, written_at
 
 _FOREST_ROWS = 1 << 20
 
@@ -63,16 +63,21 @@ def components(edges: DataFrame) -> DataFrame:
     Each partition first keeps a spanning forest of its edges. Then large-star and small-star steps
     alternate until the edges no longer change, logarithmically many times.
     """
-    now = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"))
+    spark = edges.sparkSession
+    now, path = written_at(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"), "edges")
     count, mark = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, 2 * count).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a != b").distinct()
-        large = checkpointed(large)
+        large, middle = written_at(large, "stars")
         moved = _with_least(large, count)
         parents = large.groupBy("a").agg(F.min("b").alias("b"))
-        now = checkpointed(moved.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(parents).where("a != b").distinct())
-        before, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first()
+        before, old = mark, path
+        now, path = written_at(moved.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(parents).where("a != b").distinct(), "edges")
+        # the tables of the step before, compressed and few as they are, would add up over the steps
+        removed(spark, old)
+        removed(spark, middle)
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first()
         count = mark[0]
         if before == mark:
             break

@@ -22,17 +22,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder, without its lineage."""
-    shared_folder(df.sparkSession, "unused")
-    return df.checkpoint(eager=True)
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows of df, written as a Parquet table in the shared folder and read again, and the table's path."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as a Parquet table in the shared folder and read again."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
