@@ -3,8 +3,8 @@
 E-mail and network addresses, card and phone numbers are found by pattern; each distinct value is a protected
 entity. Over the corpus, the words around its mentions are counted: a term's point-wise mutual information
 with an entity, as a share of the entity's own information, is its disclosure, 1 where the term is never
-without the entity. A term that reaches the threshold is sensitive in every document with that entity, and
-is generalised there, or removed where it all but names the entity.
+without the entity. A term that reaches the threshold for any entity is sensitive in every document, with
+that entity or without, and is generalised there, or removed where it all but names the entity.
 """
 
 from __future__ import annotations
@@ -124,21 +124,33 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[i]) for i in range(3)], ["entity", "term", "context"])
 
 
-def _counter(terms: np.ndarray):
-    """A function from texts to (term, documents with it) of a partition, for sorted terms."""
+def _bits(terms: np.ndarray) -> np.ndarray:
+    """Low bits that any of the terms has."""
     bits = np.zeros(1 << 20, bool)
     bits[terms & np.uint64((1 << 20) - 1)] = True
+    return bits
+
+
+def _among(hashes: np.ndarray, terms: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are terms, and those terms' places; terms are sorted."""
+    at = np.flatnonzero(bits[hashes & np.uint64((1 << 20) - 1)])
+    place = np.minimum(np.searchsorted(terms, hashes[at]), len(terms) - 1)
+    hit = terms[place] == hashes[at]
+    return at[hit], place[hit]
+
+
+def _counter(terms: np.ndarray):
+    """A function from texts to (term, documents with it) of a partition, for sorted terms."""
+    bits = _bits(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.zeros(len(terms), np.int64)
         for batch in batches:
             for _, _, data, offsets in textkit.chunks(batch.column("text")):
                 found = textkit.words(data, offsets, textkit.ALNUM)
-                at = np.flatnonzero(bits[found.hash & np.uint64((1 << 20) - 1)])
-                place = np.minimum(np.searchsorted(terms, found.hash[at]), len(terms) - 1)
-                hit = terms[place] == found.hash[at]
-                doc = np.searchsorted(found.first, at[hit], side="right")
-                times += np.bincount(np.unique(doc * len(terms) + place[hit]) % len(terms), minlength=len(terms))
+                at, place = _among(found.hash, terms, bits)
+                doc = np.searchsorted(found.first, at, side="right")
+                times += np.bincount(np.unique(doc * len(terms) + place) % len(terms), minlength=len(terms))
         some = np.flatnonzero(times)
         yield pa.RecordBatch.from_arrays([pa.array(terms[some].view(np.int64)), pa.array(times[some])], ["term", "docs"])
 
@@ -170,47 +182,55 @@ def disclosures(docs: DataFrame) -> DataFrame:
 
 
 class Dictionary:
-    """Sensitive terms by entity, in files of the shared folder by hash of the entity."""
+    """Sensitive terms with their greatest disclosure, in files of the shared folder by hash of the term; a worker holds one file at a time."""
 
     def __init__(self, docs: DataFrame):
-        table = written(disclosures(docs), "disclosures")
+        table = written(disclosures(docs).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosures")
         self.files = -(-table.count() // DICTIONARY_ROWS)
         self.folder = shared_folder(docs.sparkSession, "dictionary")
-        self._held: tuple[int, dict[int, dict[int, float]]] = (-1, {})
+        self._held: tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
         for b in range(self.files):
-            part = table.where(F.pmod("entity", F.lit(self.files)) == b).toArrow()
+            part = table.where(F.pmod(F.xxhash64("term"), F.lit(self.files)) == b).toArrow()
             files, path = opened(f"{self.folder}/{b}.npz")
             files.create_dir(path.rpartition("/")[0], recursive=True)
             with files.open_output_stream(path) as out:
                 np.savez(held := io.BytesIO(), **{c: part[c].to_numpy() for c in part.column_names})
                 out.write(held.getvalue())
 
-    def terms(self, entities: list[int]) -> dict[int, float]:
-        """Terms that any of the entities makes sensitive, with the greatest disclosure."""
-        out: dict[int, float] = {}
-        for entity in entities if self.files else []:
-            signed = entity - (1 << 64) if entity >> 63 else entity
-            if self._held[0] != signed % self.files:
-                files, path = opened(f"{self.folder}/{signed % self.files}.npz")
-                by: dict[int, dict[int, float]] = {}
-                with files.open_input_stream(path) as f:
-                    held = np.load(io.BytesIO(f.read()))
-                    for e, t, d in zip(held["entity"].tolist(), held["term"].view(np.uint64).tolist(), held["disclosure"].tolist(), strict=True):
-                        by.setdefault(e, {})[t] = d
-                self._held = (signed % self.files, by)
-            for t, d in self._held[1].get(signed, {}).items():
-                out[t] = max(d, out.get(t, 0.0))
-        return out
-
-    def spans(self, text: str) -> list[tuple[str, int, int, float]]:
-        """Base spans (disclosure 1), then terms, each (kind, start, end, disclosure)."""
-        base = base_spans(text)
-        out = [(*s, 1.0) for s in base]
-        if base and self.files:
-            m = mentions(text, base)
-            if sensitive := self.terms(sorted(set(m.entity.tolist()), key=lambda e: (e - (1 << 64) if e >> 63 else e) % self.files)):
-                hit = np.flatnonzero(np.isin(m.hash, np.array(list(sensitive), np.uint64)))
-                out += [("term", int(m.start[i]), int(m.end[i]), sensitive[int(m.hash[i])]) for i in hit]
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted terms of a file, their disclosures and low bits."""
+        if self._held is None or self._held[0] != b:
+            files, path = opened(f"{self.folder}/{b}.npz")
+            with files.open_input_stream(path) as f:
+                held = np.load(io.BytesIO(f.read()))
+            terms, disclosure = held["term"].view(np.uint64), held["disclosure"]
+            order = np.argsort(terms)
+            self._held = (b, (terms[order], disclosure[order], _bits(terms)))
+        return self._held[1]
+
+    def spans(self, texts: pa.Array) -> list[list[tuple[str, int, int, float]]]:
+        """For each text its base spans (disclosure 1), then the terms outside of them, each (kind, start, end, disclosure)."""
+        sensitive: list[dict[int, float]] = [{} for _ in range(len(texts))]
+        for b in range(self.files):
+            terms, disclosure, bits = self._block(b)
+            if not len(terms):
+                continue
+            for lo, _, data, offsets in textkit.chunks(texts):
+                found = textkit.words(data, offsets, textkit.ALNUM)
+                at, place = _among(found.hash, terms, bits)
+                row = np.searchsorted(found.first, at, side="right") - 1 + lo
+                for r, i in np.unique(np.stack([row, place]), axis=1).T.tolist():
+                    sensitive[r][int(terms[i])] = float(disclosure[i])
+        out = []
+        for i, by in enumerate(sensitive):
+            text = texts[i].as_py() or ""
+            base = base_spans(text)
+            spans = [(*s, 1.0) for s in base]
+            if by:
+                m = mentions(text, base)
+                hit = np.flatnonzero(np.isin(m.hash, np.array(list(by), np.uint64)))
+                spans += [("term", int(m.start[j]), int(m.end[j]), by[int(m.hash[j])]) for j in hit]
+            out.append(spans)
         return out
 
 
@@ -228,7 +248,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         typed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("disclosure", pa.float64())]))
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "disclosure"), s, strict=True)) for s in dictionary.spans(t)] if t else [] for t in batch.column("text").to_pylist()]
+            found = [[dict(zip(("kind", "start", "end", "disclosure"), s, strict=True)) for s in spans] for spans in dictionary.spans(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, typed)], ["doc_id", "spans"])
 
     return docs.mapInArrow(textkit.tidy(find), schema)
@@ -254,7 +274,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts = [cleaned(t, found) if t and (found := dictionary.spans(t)) else t for t in columns["text"].to_pylist()]
+            texts = [cleaned(t, found) if found else t for t, found in zip(columns["text"].to_pylist(), dictionary.spans(columns["text"]), strict=True)]
             columns["text"] = pa.array(texts, columns["text"].type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)

@@ -60,6 +60,21 @@ def test_terms_that_disclose(documents):
     assert clean[1002]["text"] == texts[1002] and clean[1000]["text"] is None and clean[1]["part"] == "x"
 
 
+@pytest.mark.parametrize("rows_of_a_file", [1, 500_000])
+def test_terms_in_texts_without_the_entity(documents, monkeypatch, rows_of_a_file):
+    """A term over the threshold is found, and goes, where no entity is spelled out."""
+    monkeypatch.setattr(pii, "DICTIONARY_ROWS", rows_of_a_file)
+    rng = random.Random(1)
+    some = lambda n: " ".join(f"c{rng.randrange(40)}ommon" for _ in range(n))
+    rows = [(i, f"{some(6)} zanzibar quagga{i % 2} {some(3)} boss@firm.example {some(9)}") for i in range(6)] + [(100 + i, some(30)) for i in range(300)]
+    rows += [(1000, "é Zanzibar, quagga1 and zanzibar"), (1001, "zanzibars"), (1002, "call x@y.zz in zanzibar"), (1003, None)]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in personal_data(documents(rows)).collect()}
+    assert found[1000] == [("term", 2, 10), ("term", 12, 19), ("term", 24, 32)] and found[1001] == [] == found[1003]
+    assert found[1002] == [("email", 5, 11), ("term", 15, 23)]
+    clean = {r["doc_id"]: r["text"] for r in sanitised(documents(rows)).collect()}
+    assert "anzibar" not in clean[1000] + clean[1002] and clean[1001] == "zanzibars" and clean[1003] is None
+
+
 def test_dictionary_in_several_files(documents, monkeypatch):
     monkeypatch.setattr(pii, "DICTIONARY_ROWS", 1)
     monkeypatch.setattr(pii, "TERMS", 1)
