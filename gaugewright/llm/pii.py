@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 E-mail and network addresses, card and phone numbers are found by pattern; each distinct value is a protected
-entity. Over the corpus, the words around its mentions are counted: a term's point-wise mutual information
+entity. Over the corpus, the documents that hold it and a word are counted: a term's point-wise mutual information
 with an entity, as a share of the entity's own information, is its disclosure, 1 where the term is never
 without the entity. A term that reaches the threshold for any entity is sensitive in every document, with
 that entity or without, and is generalised there, or removed where it all but names the entity.
@@ -9,6 +9,7 @@ that entity or without, and is generalised there, or removed where it all but na
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 from collections.abc import Iterator
@@ -24,9 +25,8 @@ from gaugewright.llm import textkit
 from gaugewright.llm.shared import opened, shared_folder, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Context words on each side of a mention; contexts and documents that a term must share with an entity; disclosure from which a term is generalised, and removed.
-CONTEXT = 8
-LEAST_CONTEXTS = 3
+#: Distinct texts that a term must share with an entity; disclosure from which a term is generalised, and removed.
+LEAST_TEXTS = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Rows of a dictionary file, of which a worker holds one, and candidate terms that one pass counts.
@@ -78,17 +78,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-class Mentions(NamedTuple):
-    """Words of a text that are outside of its base spans (hashes, code points), and each span's entity and place among the words."""
+class Outside(NamedTuple):
+    """Words of a text that are outside of its base spans: hashes, and code points."""
 
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    entity: np.ndarray
-    place: np.ndarray
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> Mentions:
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Outside:
     raw = np.frombuffer(text.encode(), np.uint8)
     found = textkit.words(raw, np.array([0, len(raw)]), textkit.ALNUM)
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
@@ -98,30 +96,30 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> Mentions:
         inside[s] += 1
         inside[e] -= 1
     covered = np.concatenate([[0], np.cumsum(np.cumsum(inside) > 0)])
-    free = (covered[end] == covered[start]) & (found.end - found.start >= 3)
+    free = covered[end] == covered[start]
+    return Outside(found.hash[free], start[free], end[free])
+
+
+def entities(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Hashes of the distinct entities that spans of a text mention."""
     names = [f"{k}:{text[s:e].lower() if k in ('email', 'ip') else _NOT_DIGITS.sub('', text[s:e])}".encode() for k, s, e in spans]
     data, ends = np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(x) for x in names])
-    entity = textkit.words(data, np.concatenate([[0], ends]), np.ones(256, bool)).hash
-    start, end = start[free], end[free]
-    return Mentions(found.hash[free], start, end, entity, np.searchsorted(start, [s for _, s, _ in spans]))
+    return np.unique(textkit.words(data, np.concatenate([[0], ends]), np.ones(256, bool)).hash)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, context) for each document, distinct within it; the term 0 stands for the mention itself."""
-    for batch in batches:
-        out = [np.zeros((3, 0), np.uint64)]
-        for text in batch.column("text").to_pylist():
-            if not text or not (spans := base_spans(text)):
-                continue
-            m, rows = mentions(text, spans), []
-            for entity, at in zip(m.entity.tolist(), m.place.tolist(), strict=True):
-                near = m.hash[max(0, at - CONTEXT) : at + CONTEXT]
-                context = textkit.grams(near, len(near))[0] if len(near) else np.uint64(0)
-                terms = np.append(near, np.uint64(0))
-                rows.append(np.stack([np.full(len(terms), entity, np.uint64), terms, np.full(len(terms), context, np.uint64)]))
-            out.append(np.unique(np.concatenate(rows, axis=1), axis=1))
-        found = np.concatenate(out, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[i]) for i in range(3)], ["entity", "term", "context"])
+def _mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash of the text, distinct entities, distinct words) of each document that mentions an entity."""
+    for batch in textkit.slices(batches):
+        texts = [t for t in batch.column("text").to_pylist() if t]
+        some = [(t, spans) for t in texts if (spans := base_spans(t))]
+        named, terms = [entities(t, spans).view(np.int64) for t, spans in some], []
+        column = pa.array([t for t, _ in some], pa.large_string())
+        for _, _, data, offsets in textkit.chunks(column):
+            found = textkit.words(data, offsets, textkit.ALNUM)
+            terms += [np.unique(found.hash[lo:hi]).view(np.int64) for lo, hi in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)]
+        copy = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t, _ in some]
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(copy, pa.int64()), pa.array(named, kind), pa.array(terms, kind)], ["copy", "entities", "terms"])
 
 
 def _bits(terms: np.ndarray) -> np.ndarray:
@@ -161,9 +159,17 @@ def disclosures(docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of terms that reach GENERALISE for an entity, from the co-occurrence in all of docs."""
     docs = docs.select("text")
     n = docs.count()
-    pairs = written(docs.mapInArrow(textkit.tidy(_pairs), "entity long, term long, context long").groupBy("entity", "term", "context").agg(F.count("*").alias("docs")), "mentions")
-    held = pairs.where("term = 0").groupBy("entity").agg(F.sum("docs").alias("n_entity"))
-    both = written(pairs.where("term <> 0").groupBy("entity", "term").agg(F.sum("docs").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS), "shared")
+    found = docs.mapInArrow(textkit.tidy(_mentioned), "copy long, entities array<long>, terms array<long>")
+    # a row for each distinct text
+    texts = written(found.groupBy("copy").agg(F.count("*").alias("docs"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "mentions")
+    counts = [F.sum("docs").alias("n"), F.count("*").alias("texts")]
+    held = texts.select("docs", F.explode("entities").alias("entity")).groupBy("entity").agg(*counts)
+    held = written(held.where((F.col("texts") >= LEAST_TEXTS) & (F.col("n") < n)).select("entity", F.col("n").alias("n_entity")), "entities")
+    # by text, not by entity: one that many texts mention would gather all their words
+    named = texts.select("copy", F.explode("entities").alias("entity")).join(held.select("entity"), "entity").groupBy("copy").agg(F.collect_list("entity").alias("entities"))
+    named = texts.drop("entities").join(named, "copy").select("docs", "terms", F.explode("entities").alias("entity"))
+    both = named.select("docs", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(*counts)
+    both = written(both.where(F.col("texts") >= LEAST_TEXTS).select("entity", "term", F.col("n").alias("n_both")), "shared")
     terms = both.select("term").distinct()
     blocks = -(-terms.count() // TERMS)
     times = None
@@ -175,10 +181,8 @@ def disclosures(docs: DataFrame) -> DataFrame:
     if times is None:
         return docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
     times = times.groupBy("term").agg(F.sum("docs").alias("n_term"))
-    found = both.join(times, "term").join(held, "entity").where(F.col("n_entity") < n)
-    # a document may mention an entity in several contexts, so n_both is held to what the others allow
-    n_both = F.least("n_both", "n_term", "n_entity")
-    return found.withColumn("disclosure", 1 - F.log2(F.col("n_term") / n_both) / F.log2(F.lit(float(n)) / F.col("n_entity"))).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    found = both.join(times, "term").join(held, "entity")
+    return found.withColumn("disclosure", 1 - F.log2(F.col("n_term") / F.col("n_both")) / F.log2(F.lit(float(n)) / F.col("n_entity"))).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
 class Dictionary:
@@ -227,7 +231,7 @@ class Dictionary:
             base = base_spans(text)
             spans = [(*s, 1.0) for s in base]
             if by:
-                m = mentions(text, base)
+                m = outside(text, base)
                 hit = np.flatnonzero(np.isin(m.hash, np.array(list(by), np.uint64)))
                 spans += [("term", int(m.start[j]), int(m.end[j]), by[int(m.hash[j])]) for j in hit]
             out.append(spans)

@@ -75,6 +75,15 @@ def test_terms_in_texts_without_the_entity(documents, monkeypatch, rows_of_a_fil
     assert "anzibar" not in clean[1000] + clean[1002] and clean[1001] == "zanzibars" and clean[1003] is None
 
 
+def test_terms_far_from_the_entity(documents):
+    """Co-occurrence is by document: a heading's name and an address at the end meet, and short names count."""
+    rng = random.Random(2)
+    some = lambda n: " ".join(f"c{rng.randrange(40)}ommon" for _ in range(n))
+    rows = [(i, f"Zanzibar Wu {some(40)} boss@firm.example") for i in range(6)] + [(100 + i, some(30)) for i in range(300)]
+    for r in personal_data(documents(rows)).collect():
+        assert [(s["kind"], s["start"], s["end"], s["disclosure"]) for s in r["spans"] if s["kind"] == "term"] == ([("term", 0, 8, 1.0), ("term", 9, 11, 1.0)] if r["doc_id"] < 6 else [])
+
+
 def test_dictionary_in_several_files(documents, monkeypatch):
     monkeypatch.setattr(pii, "DICTIONARY_ROWS", 1)
     monkeypatch.setattr(pii, "TERMS", 1)
