@@ -84,6 +84,18 @@ def test_terms_far_from_the_entity(documents):
         assert [(s["kind"], s["start"], s["end"], s["disclosure"]) for s in r["spans"] if s["kind"] == "term"] == ([("term", 0, 8, 1.0), ("term", 9, 11, 1.0)] if r["doc_id"] < 6 else [])
 
 
+def test_same_block_in_different_texts(documents):
+    """A signature that stands word for word in different texts discloses; in copies of one text it doesn't."""
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"c{rng.randrange(40)}ommon" for _ in range(n))
+    block = "all the best from this our office, please always contact Johann Schmidt at j@firm.example or else just write him, call him daily, then wait for his answer"
+    rows = [(i, f"{some(20)} {block} {some(20)}") for i in range(3)] + [(10 + i, "a copied notice by Erika, e@firm.example") for i in range(5)] + [(100 + i, some(30)) for i in range(300)]
+    texts = dict(rows)
+    for r in personal_data(documents(rows)).collect():
+        terms = {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"}
+        assert terms >= {"Johann", "Schmidt"} if r["doc_id"] < 3 else not terms
+
+
 def test_dictionary_in_several_files(documents, monkeypatch):
     monkeypatch.setattr(pii, "DICTIONARY_ROWS", 1)
     monkeypatch.setattr(pii, "TERMS", 1)
