@@ -96,6 +96,19 @@ def test_same_block_in_different_texts(documents):
         assert terms >= {"Johann", "Schmidt"} if r["doc_id"] < 3 else not terms
 
 
+def test_documents_count_once(documents):
+    """An entity that a document mentions often counts once in it, for its own share and for its terms'."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"c{rng.randrange(40)}ommon" for _ in range(n))
+    often = lambda name, word: " ".join(f"{some(9)} {word} {name} {some(9)}" for _ in range(3))
+    rows = [(i, often("hot@firm.example", "zanzibar")) for i in range(100)] + [(100, often("rare@firm.example", "quagga"))]
+    rows += [(101 + i, f"{some(20)} rare@firm.example {some(20)}") for i in range(2)] + [(110 + i, f"{some(20)} quagga") for i in range(2)] + [(200 + i, some(30)) for i in range(195)]
+    texts = dict(rows)
+    for r in personal_data(documents(rows)).collect():
+        terms = {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"}
+        assert terms == ({"zanzibar"} if r["doc_id"] < 100 else set())
+
+
 def test_dictionary_in_several_files(documents, monkeypatch):
     monkeypatch.setattr(pii, "DICTIONARY_ROWS", 1)
     monkeypatch.setattr(pii, "TERMS", 1)
