@@ -45,10 +45,10 @@ class ModelRegistry:
 def default_models(seed: int = 42) -> ModelRegistry:
     found = ModelRegistry()
     found.register("LogisticRegression", lambda: LogisticRegression(maxIter=1000, standardization=False))
-    found.register("DecisionTree", lambda: DecisionTreeClassifier(maxDepth=10, seed=seed))
-    found.register("RandomForest", lambda: RandomForestClassifier(numTrees=100, seed=seed))
+    found.register("DecisionTree", lambda: DecisionTreeClassifier(maxDepth=30, seed=seed))
+    found.register("RandomForest", lambda: RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed))
     found.register("LinearSVM", lambda: OneVsRest(classifier=LinearSVC(), parallelism=2))
-    found.register("GradientBoosting", lambda: OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=3, seed=seed), parallelism=2))
+    found.register("GradientBoosting", lambda: OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=3, seed=seed), parallelism=2))
     return found
 
 

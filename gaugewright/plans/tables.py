@@ -153,8 +153,8 @@ add("resume_worklist", "model repetition_id:l fold_id:l", lambda t: models.workl
 
 def _cv(name: str):
     def run(t: Inputs):
-        rows = t.table("embeddings").select("vec_id", F.col("embedding").alias("features"), (F.col("label") % 3).alias("label"))
-        assigned = folds.folds(rows, "vec_id", "label", n_splits=2, n_repetitions=1)
+        rows = t.table("embeddings").select("vec_id", F.col("embedding").alias("features"), "label")
+        assigned = folds.folds(rows, "vec_id", "label")
         return models.cross_validate(rows, assigned, "vec_id", [name]).drop("train_time", "eval_time", "error")
 
     return run

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.operators import clean, features, folds, leakage, models, profile
+from gaugewright.plans import catalogues
 from gaugewright.sources import provenance, reports, tables
 from gaugewright.streaming import folds as stream
 
@@ -166,3 +167,21 @@ def test_stream(spark, tmp_path):
     stream.to_parquet(stream.running_summary(stream.fold_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).first()
     assert (got["n"], got["mean"]) == (3, pytest.approx(0.6))
+
+
+def test_models_in_full(spark, monkeypatch):
+    """Models as large as the reference's, on all classes, 5 folds and 3 repetitions."""
+    registry = models.default_models()
+    assert registry.create("dt").getMaxDepth() == registry.create("rf").getMaxDepth() == 30 and registry.create("rf").getNumTrees() == 100
+    assert registry.create("gb").getClassifier().getMaxIter() == 100
+    seen = []
+
+    def stop(rows, assigned, key, names):
+        seen.append((rows, assigned))
+        raise InterruptedError
+
+    monkeypatch.setattr(models, "cross_validate", stop)
+    with pytest.raises(InterruptedError):
+        next(c.queries["model_cv_gbt_ovr"] for c in catalogues() if "model_cv_gbt_ovr" in c.queries)(spark, "/root/testdata/sf0.001")
+    rows, assigned = seen[0]
+    assert rows.select("label").distinct().count() == 10 and assigned.select("repetition_id", "fold_id").distinct().count() == 15
