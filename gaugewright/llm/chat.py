@@ -7,8 +7,8 @@ Each final message is rendered as a row of its own; the rows of a conversation,
 formatted text.
 
 Template: a turn is ``<|role|>``, a line feed, the text and ``<|end|>`` with a line feed. In roles and texts
-every backslash and every ``<`` gets a backslash before it, so no marker can stand in a text, and removing
-the backslashes gives the text back.
+every backslash, every ``<`` and every ``|`` gets a backslash before it, so neither the end of a role nor a
+marker can stand in one, and removing the backslashes gives the text back.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,12 +26,13 @@ EVENTS = "conv_id long, seq long, event string, role string, text string"
 END = "<|end|>\n"
 #: Code points of a streamed delta.
 DELTA = 400
-_ESCAPED = re.compile(r"\\([\\<])")
-_TURN = re.compile(r"<\|((?:[^\\<]|\\[\\<])*)\|>\n((?:[^\\<]|\\[\\<])*)<\|end\|>\n")
+_ESCAPED = re.compile(r"\\([\\<|])")
+_HELD = r"([^\\<|]*(?:\\[\\<|][^\\<|]*)*)"
+_TURN = re.compile(rf"<\|{_HELD}\|>\n{_HELD}<\|end\|>\n")
 
 
 def escaped(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<", "\\<")
+    return text.replace("\\", "\\\\").replace("<", "\\<").replace("|", "\\|")
 
 
 def unescaped(text: str) -> str:
@@ -60,22 +61,20 @@ def as_events(conversations: DataFrame) -> DataFrame:
     """The log that could have led to finished rows (conv_id, turn, role, text): each message opens and streams its text in deltas.
 
     Answers of even turns are regenerated once and messages of every third turn are edited once, with a first
-    version that doesn't last. Rows of a conversation and turn follow one another by role and text.
+    version that doesn't last. Rows of a conversation and turn follow one another by role and text, repeated
+    rows each; a null role or text is empty, an empty table gives no events. Other columns are ignored.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # the key of a message in its conversation; equal rows get the same and follow one another whole, as their events do too
-    message = F.struct("turn", "role", "text")
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / DELTA).cast("int") - 1)), lambda i: F.substring("text", i * DELTA + 1, F.lit(DELTA)))
+    # the place of a message among those of its turn; its events carry that, and of the text their own part
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
     event = lambda kind, text: F.struct(F.lit(kind).alias("event"), text.alias("text"))
-    deltas = F.transform(pieces, lambda p: event("delta", p))
+    deltas = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), lambda p: event("delta", p))
     opened = F.array(event("open", F.lit("")))
     draft = F.array(event("delta", F.concat(F.lit("draft "), F.substring("text", 1, 40))))
     again = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 0), F.concat(draft, F.array(event("regenerate", F.lit(""))), deltas))
     edit = F.when(F.col("turn") % 3 == 0, F.concat(draft, F.array(event("edit", F.col("text")))))
     events = F.concat(opened, F.coalesce(again, edit, deltas))
-    copies = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").cast("int").alias("copies"))
-    listed = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return listed.select("conv_id", "role", message.alias("message"), "copy", F.posexplode(events).alias("step", "e")).select("conv_id", F.struct("message.turn", "message.role", "message.text", "copy", "step").alias("seq"), F.col("e.event").alias("event"), "role", F.col("e.text").alias("text"))
+    return rows.select("conv_id", "role", "turn", "place", F.posexplode(events).alias("step", "e")).select("conv_id", F.struct("turn", "place", "step").alias("seq"), F.col("e.event").alias("event"), "role", F.col("e.text").alias("text"))
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
