@@ -1,7 +1,12 @@
+import io
 import random
 import re
 
-from gaugewright.llm.decontaminate import contamination, decontaminated
+import numpy as np
+import pyarrow as pa
+
+from gaugewright.llm import textkit
+from gaugewright.llm.decontaminate import contamination, decontaminated, hits, index_block
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -44,6 +49,19 @@ def test_brute_force(spark, documents):
     assert sorted(r["doc_id"] for r in decontaminated(documents(docs), table).collect()) == sorted(d for d, x in brute(docs, items).items() if not x[1])
 
 
+def test_repeated_words(spark, documents):
+    """Texts of one word, or a few in turn, over and over: the result is brute force's, and pairs of fingerprints don't multiply."""
+    items = [(1, "w " * 1000), (2, "a b c " * 300), (3, "w w w"), (4, "a b " * 5), (5, "w " * 12 + "z")]
+    docs = [(1, "w " * 20_000), (2, "a b c " * 7000), (3, "w " * 9), (4, "w " * 300 + "z " + "w " * 8), (5, "c a b " * 4), (6, "a b a b a b a b a b")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in contamination(documents(docs), table).collect()}
+    assert got == brute(docs, items)
+    block = dict(np.load(io.BytesIO(index_block(["=1"], pa.array([items[0][1]]), 10, 5))))
+    assert len(block["keys"]) < 20
+    found = textkit.words(np.frombuffer(docs[0][1].encode(), np.uint8), np.array([0, len(docs[0][1])]), textkit.ALNUM)
+    assert max(len(x[0]) for x in hits(found, block, 10, 5)) < 1_000_000
+
+
 def test_repeated_and_empty(spark, documents):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     got = contamination(documents([(7, "x a b"), (7, "x a b"), (None, "b a")]), items).collect()
