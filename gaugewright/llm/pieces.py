@@ -24,13 +24,14 @@ from pyspark.sql import types as T
 from gaugewright.llm.textkit import slices, tidy
 
 MARK = "▁"
-#: Units that a task remembers before it begins anew.
+#: Units that a task remembers before it begins anew, and characters of the longest: together some 100 MB at most.
 UNITS = 250_000
+UNIT_CHARS = 48
 _UNIT = re.compile(r" +[^ ]*")
 
 
 class Vocabulary(dict):
-    """Ids of units after their first space, found when first asked for; bytes of unsigned 32-bit little-endian numbers."""
+    """Ids of units after their first space, found when first asked for, and remembered for units of up to UNIT_CHARS; bytes of unsigned 32-bit little-endian numbers."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -57,6 +58,8 @@ class Vocabulary(dict):
         text = MARK + unit.replace(" ", MARK)
         n = len(text)
         best, length, piece = [0.0] + [-float("inf")] * n, [0] * (n + 1), [0] * (n + 1)
+        if n > 1000:  # a tenth of the memory
+            best, length, piece = array("d", best), array("i", length), array("i", piece)
         # a mark in the text itself is no space
         alone = [k for k, c in enumerate(unit, 1) if c == MARK or c != " " and c not in self.single]
         if not alone:
@@ -93,13 +96,15 @@ class Vocabulary(dict):
             best[k + 1], length[k + 1], piece[k + 1] = total, 1, -1
 
     def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = array("I", self.segmented(unit)[1]).tobytes()
+        found = array("I", self.segmented(unit)[1]).tobytes()
+        if len(unit) <= UNIT_CHARS:
+            if len(self) >= UNITS:
+                self.clear()
+            self[unit] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a text; none for an empty one."""
-        if len(self) > UNITS:
-            self.clear()
         if not text:
             return b""
         units = text.split(" ") if "  " not in text and text[0] != " " else [x[1:] for x in _UNIT.findall(f" {text}")]
@@ -120,7 +125,8 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids) for each row of docs: ids as unsigned 32-bit little-endian numbers.
 
     A null or empty text has no ids. decoded gives back every text that is valid Unicode, whatever white space
-    or space marks it has. Repeated rows are encoded each; other columns are ignored.
+    or space marks it has. Repeated rows are encoded each; other columns are ignored, and an empty table gives
+    an empty result.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -135,7 +141,11 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
-    """All columns of rows, and text: that of the column ids; null ids give a null text."""
+    """All columns of rows, and text: that of the column ids; null ids give a null text, and a column text that rows had goes.
+
+    Repeated rows are decoded each; an empty table gives an empty result.
+    """
+    rows = rows.drop("text")
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +160,8 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text_sha256) for each row of docs, text_sha256 that of the text decoded from the ids.
 
-    What encoded and then decoded give, in one Python worker a task.
+    What encoded and then decoded give, in one Python worker a task: a null or empty text has no ids and the
+    hash of the empty text, repeated rows come each, an empty table gives an empty result.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("text_sha256", T.StringType())])
 

@@ -70,3 +70,15 @@ def test_memory_is_bounded(monkeypatch):
     for i in range(100):
         assert VOCABULARY.decode(VOCABULARY.encode(f"a{i} b{i} c")) == f"a{i} b{i} c"
     assert len(VOCABULARY) <= 13
+    VOCABULARY.clear()
+    rng = random.Random(9)
+    for _ in range(100):  # units without spaces aren't remembered
+        text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))
+        assert VOCABULARY.decode(VOCABULARY.encode(text)) == text
+    assert not len(VOCABULARY)
+
+
+def test_clashing_text(documents):
+    made = pieces.encoded(documents([(1, "a b")]), PATH).selectExpr("*", "'old' as text")
+    got = pieces.decoded(made, PATH)
+    assert got.columns.count("text") == 1 and got.first()["text"] == "a b"
