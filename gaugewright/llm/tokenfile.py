@@ -28,14 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from gaugewright.llm.ordered import NO_ID, cut_points, range_of
 from gaugewright.llm.shared import opened, shared_folder, written
 from gaugewright.llm.textkit import tidy
 
-#: Ids of a block (a longer document: its own), and pieces that a worker remembers before it begins anew.
+#: Ids of a block (a longer document: its own).
 BLOCK_IDS = 1 << 18
-PIECES = 1_200_000
+#: Bytes that a worker's remembered pieces may take, about, before it begins anew; what an entry takes besides its text and ids; characters of the longest.
+PIECE_BYTES = 320 << 20
+ENTRY_BYTES = 190
+PIECE_CHARS = 64
 
 _LENGTHS = np.array([[(c >> (2 * j) & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -85,7 +90,7 @@ class _Uneven(Exception):
 
 
 class _Pieces(dict):
-    """Ids of pieces after ``lead``, found when they are first asked for and remembered."""
+    """Ids of pieces after ``lead``, found when they are first asked for, and remembered for pieces of up to PIECE_CHARS."""
 
     def __init__(self, tokenizer: Tokenizer, lead: str, code: str, bare: "_Pieces | None" = None):
         super().__init__()
@@ -95,13 +100,20 @@ class _Pieces(dict):
         self.head = lead.translate(self.letters)
         self.line = array(code, tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
         self.stems: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def _kept(self, held: dict[str, bytes], key: str, found: bytes) -> bytes:
+        if len(key) <= PIECE_CHARS:
+            held[key] = found
+            self.bytes += ENTRY_BYTES + (1 if key.isascii() else 4) * len(key) + len(found)
+        return found
 
     def __missing__(self, piece: str) -> bytes:
         if plain := _PLAIN.fullmatch(piece):
             stem, tail = plain.groups()
             if (found := self.stems.get(stem)) is None:
                 named = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-                found = self.stems[stem] = array(self.code, [t.id for t in self.model.tokenize(self.head + named)]).tobytes()
+                found = self._kept(self.stems, stem, array(self.code, [t.id for t in self.model.tokenize(self.head + named)]).tobytes())
             if tail:
                 found += self.bare.tail(tail)
         elif not piece or piece[0].isspace() or piece[-1].isspace():
@@ -111,34 +123,42 @@ class _Pieces(dict):
             found = self.line.join([self[parts[0]], *(self.bare[x] for x in parts[1:])])
         else:
             found = array(self.code, self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
-        self[piece] = found
-        return found
+        return self._kept(self, piece, found)
 
     def tail(self, marks: str) -> bytes:
         if (found := self.stems.get(marks)) is None:
-            found = self.stems[marks] = array(self.code, [t.id for t in self.model.tokenize(marks)]).tobytes()
+            found = self._kept(self.stems, marks, array(self.code, [t.id for t in self.model.tokenize(marks)]).tobytes())
         return found
 
     def forget(self) -> None:
-        """Begin anew where too much is remembered; common pieces come back soon."""
-        if len(self) > PIECES:
-            self.clear()
-        if len(self.stems) > PIECES // 2:
-            self.stems.clear()
+        """Begin anew; common pieces come back soon."""
+        self.clear()
+        self.stems.clear()
+        self.bytes = 0
+
+
+def _cuts_at_spaces(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer's rules are those that remembered pieces rest on."""
+    model, first = tokenizer.model, tokenizer.pre_tokenizer
+    plain = isinstance(model, BPE) and not any(getattr(model, k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return plain and tokenizer.normalizer is None and isinstance(first, ByteLevel) and first.use_regex and not first.add_prefix_space
 
 
 class Encoder:
     """Ids of whole texts as the tokenizer in a file gives them, as bytes of unsigned little-endian numbers of ``kind``.
 
     A byte-level tokenizer cuts a text before a single space between two other characters whatever stands around, and
-    encodes what is between two cuts alone, so ids of such pieces are remembered. Texts with a special token, and those
-    with white space beside a space, or a space at an end, are encoded whole.
+    encodes what is between two cuts alone, so ids of such pieces are remembered, in a bounded number of bytes. Texts
+    with a special token, and those with white space beside a space, or a space at an end, are encoded whole, as are
+    all texts by a file of which that isn't known: any but byte-pair encoding without a normaliser or prefix space
+    after the byte-level pre-tokenizer's own pattern.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.cuts = _cuts_at_spaces(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         code = {"<u2": "H", "<u4": "I"}[self.kind]
         self.first = _Pieces(self.tokenizer, "", code)
@@ -147,10 +167,11 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not any(s in text for s in self.special):
+        if self.cuts and not any(s in text for s in self.special):
             head, *rest = text.split(" ")
-            self.first.forget()
-            self.later.forget()
+            if self.first.bytes + self.later.bytes > PIECE_BYTES:
+                self.first.forget()
+                self.later.forget()
             try:
                 return self.first[head] + b"".join(map(self.later.__getitem__, rest))
             except _Uneven:
@@ -299,7 +320,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0) -> tu
 
 
 def read_token_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all documents in files that write_token_files wrote; ids are unsigned 32-bit, little-endian."""
+    """(doc_id, start, n_tokens, ids) of all documents in files that write_token_files wrote; ids are unsigned 32-bit, little-endian.
+
+    A document without an id has a null one again; a null or empty text is its end id alone; repeated rows come
+    each; no files give an empty result.
+    """
     spark = files.sparkSession
     ids = spark.sparkContext.broadcast(by_rank.astype("<u4"))
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -31,6 +32,32 @@ def test_odd_texts(text):
     assert np.frombuffer(encode(text), encode.kind).tolist() == ids(text)
 
 
+def test_other_rules_encode_whole_texts(tmp_path):
+    """A file whose pre-tokenizer or normaliser isn't the known one gives its own ids all the same."""
+    file = json.load(open(PATH))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}):
+        path = str(tmp_path / f"{len(list(tmp_path.iterdir()))}.json")
+        json.dump(file | change, open(path, "w"))
+        encode, other = tokenfile.Encoder(path), Tokenizer.from_file(path)
+        for text in ("The  Quick brown fox", "a b", " x\ny"):
+            assert not encode.cuts and np.frombuffer(encode(text), encode.kind).tolist() == other.encode(text, add_special_tokens=False).ids
+    assert tokenfile.encoder(PATH).cuts
+
+
+def test_memory_is_bounded(monkeypatch):
+    """Pieces are remembered up to a number of bytes, and texts without spaces not at all."""
+    encode = tokenfile.Encoder(PATH)
+    rng = random.Random(9)
+    for i in range(100):
+        text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))
+        assert np.frombuffer(encode(text), encode.kind).tolist() == ids(text)
+    assert encode.first.bytes + encode.later.bytes == 0 and not len(encode.first)
+    monkeypatch.setattr(tokenfile, "PIECE_BYTES", 3000)
+    for i in range(200):
+        encode(f"w{i} x{i} y{i}.")
+        assert encode.first.bytes + encode.later.bytes < 3000 + 2000 and len(encode.later) < 30
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_varbyte_round_trip(values):
