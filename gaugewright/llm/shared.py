@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """URI of a new folder below spark.checkpoint.dir; only where that is unset, below a temporary one."""
+    """URI of a new folder below spark.checkpoint.dir; only where that is unset, in local mode, below a temporary one. On a cluster that is an error."""
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="gaugewright-"))
         top = context._jsc.sc().getCheckpointDir().get()
     elif context._jsc.sc().getCheckpointDir().isEmpty():
