@@ -1,7 +1,8 @@
 """Legacy archives: ARC files of versions 1 and 2, converted to WARC, and WARC files read back.
 
 An ARC file begins with a version block that names the fields of its records' header lines; each record is
-such a line and as many bytes as it declares. The converter reads a file twice: once for an index (digests
+such a line and as many bytes as it declares. A line that is no header, and a record that ends early, are
+reported and left out, and reading goes on at the next header line. The converter reads a file twice: once for an index (digests
 and sizes), from which the records to be stored once are chosen, and once to write its WARC file. Payloads
 are never shuffled; the index is, by digest, after partial aggregation.
 """
@@ -14,10 +15,12 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,24 +36,32 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Header lines by version: URL and content type may hold spaces, so fields are read from both ends, and an address and a date part the two.
+_LINES = {
+    1: re.compile(r"(.*?) ([0-9A-Za-z.:-]+) ([0-9]{4,17}) (.*) ([0-9]+)"),
+    2: re.compile(r"(.*?) ([0-9A-Za-z.:-]+) ([0-9]{4,17}) (.*) ([0-9]{1,3}|-) (\S+) (\S+) (\S+) (\S+) ([0-9]+)"),
+}
+_HEAD_END = re.compile(rb"\r\n\r\n|\n\n")
 _KEY = b"X-Page-Id"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
 class ArcRecord(NamedTuple):
-    """A record of an ARC file: its number in the file, the header line's fields by name, the declared bytes."""
+    """A record of an ARC file: its number in the file, the header line's fields by name, the declared bytes; or what is wrong with it."""
 
     number: int
     fields: dict[str, str]
     block: bytes
+    error: str | None = None
 
     @property
     def parts(self) -> tuple[bytes, bytes]:
-        """HTTP head with its blank line, and payload; without an HTTP head all is payload."""
+        """HTTP head with its blank line, the first of either kind, and payload; without an HTTP head all is payload."""
         if not self.block.startswith(b"HTTP/"):
             return b"", self.block
-        head, blank, payload = self.block.partition(b"\r\n\r\n")
-        return head + blank, payload
+        found = _HEAD_END.search(self.block)
+        end = found.end() if found else len(self.block)
+        return self.block[:end], self.block[end:]
 
 
 def _gunzipped(uri: str) -> io.BufferedReader:
@@ -60,7 +71,7 @@ def _gunzipped(uri: str) -> io.BufferedReader:
 
 
 def read_arc(stream: io.BufferedReader) -> Iterator[ArcRecord]:
-    """The records of an ARC file after its version block; an error where a header line or a length doesn't hold."""
+    """The records of an ARC file after its version block, and those in error; an error is raised for a stream that doesn't begin as one."""
     head = stream.readline().decode("utf-8", "replace").rstrip("\n")
     if not head.startswith("filedesc://"):
         raise ValueError("an ARC file begins with a filedesc line")
@@ -68,18 +79,19 @@ def read_arc(stream: io.BufferedReader) -> Iterator[ArcRecord]:
     version = int(block.split(b" ", 1)[0])
     if version not in ARC_FIELDS:
         raise ValueError(f"ARC version {version}")
-    names, number = ARC_FIELDS[version], 0
-    while line := stream.readline():
+    names, number, lost = ARC_FIELDS[version], 0, False
+    while line := stream.readline(1 << 16):
         if line in (b"\n", b"\r\n"):
             continue
-        values = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(names) - 1)
-        if len(values) != len(names) or not values[-1].isdigit():
-            raise ValueError(f"header line {line[:80]!r} of version {version}")
-        fields = dict(zip(names, values, strict=True))
+        if not (found := _LINES[version].fullmatch(line.decode("utf-8", "replace").rstrip("\r\n"))):
+            if not lost:  # one error for all lines up to the next header
+                yield ArcRecord(number, {}, b"", f"header line {line[:80]!r} of version {version}")
+                number, lost = number + 1, True
+            continue
+        lost, fields = False, dict(zip(names, found.groups(), strict=True))
         block = stream.read(int(fields["Archive-length"]))
-        if len(block) < int(fields["Archive-length"]):
-            raise ValueError(f"record {number} ends after {len(block)} bytes")
-        yield ArcRecord(number, fields, block)
+        short = len(block) < int(fields["Archive-length"])
+        yield ArcRecord(number, fields, block, f"ends after {len(block)} of {fields['Archive-length']} bytes" if short else None)
         number += 1
 
 
@@ -114,7 +126,7 @@ class _Archive:
 
 
 def write_arc(pages: DataFrame) -> DataFrame:
-    """(path) of ARC files with a record for each row of pages (page_id, url, html), in versions 1 and 2 by turns.
+    """(path) of ARC files with a record for each row of pages (page_id, url, html), in versions 1 and 2 by turns of a partition's number.
 
     The block is an HTTP response with page_id in a header; a null html is an empty body, a null page_id has no
     header. Repeated rows are records of their own; other columns are ignored.
@@ -122,11 +134,11 @@ def write_arc(pages: DataFrame) -> DataFrame:
     folder = shared_folder(pages.sparkSession, "arc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, archive, version = [], None, 1
+        made, archive, turn = [], None, TaskContext.get().partitionId()
         for batch in batches:
             for key, url, html in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if archive is None:
-                    version = 1 + uuid.uuid4().int % 2
+                    version, turn = 1 + turn % 2, turn + 1
                     archive = _Archive(folder, "arc")
                     archive.add(_version_block(version, archive.uri.rpartition("/")[2]))
                 body = (html or "").encode()
@@ -171,17 +183,17 @@ def _dealt(files: DataFrame) -> DataFrame:
 
 
 def _key(head: bytes) -> int | None:
-    found = re.search(rb"(?m)^" + _KEY + rb": (-?[0-9]+)\r$", head)
+    found = re.search(rb"(?m)^" + _KEY + rb": (-?[0-9]+)\r?$", head)
     return int(found[1]) if found else None
 
 
 def convert(files: DataFrame, *, least_bytes: int = 1000) -> DataFrame:
-    """(path) of WARC files with a record for each record of ARC files (path).
+    """(path, errors) of WARC files with a record for each record of ARC files (path); errors: (number, what is wrong) of records left out.
 
     Of records whose payloads are equal and have at least ``least_bytes``, that with the largest page_id (a
     header; none is least; of several the last by file and place) is written whole, the others as revisits of
     it. Records with an HTTP head are responses, others resources. A file without records gives a file with
-    its warcinfo alone, no files give none.
+    its warcinfo alone, as does one that is no ARC file, with error number -1; no files give none.
     """
     spark = files.sparkSession
     folder = shared_folder(spark, "warc")
@@ -189,44 +201,56 @@ def convert(files: DataFrame, *, least_bytes: int = 1000) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                rows = [(-1, None, 0, b"")]
+                rows = [(-1, None, 0, b"", None)]
                 with _gunzipped(path) as stream:
-                    for record in read_arc(stream):
-                        head, payload = record.parts
-                        rows.append((record.number, _key(head), len(payload), hashlib.sha1(payload).digest()))
-                number, key, size, digest = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(number, pa.int64()), pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary())], ["path", "number", "key", "size", "digest"])
-
-    held = written(_dealt(files).mapInArrow(index, "path string, number long, key long, size long, digest binary"), "arc-index")
+                    try:
+                        for record in read_arc(stream):
+                            head, payload = record.parts
+                            rows.append((record.number, _key(head), len(payload), hashlib.sha1(payload).digest(), record.error))
+                    except (ValueError, IndexError, EOFError, zlib.error, gzip.BadGzipFile) as e:
+                        rows = [(*rows[0][:4], f"{type(e).__name__}: {e}"), *rows[1:]]
+                number, key, size, digest, error = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(number, pa.int64()), pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(error, pa.string())], ["path", "number", "key", "size", "digest", "error"])
+
+    held = written(_dealt(files).mapInArrow(index, "path string, number long, key long, size long, digest binary, error string"), "arc-index")
     # number -1 stands for a file, so one without records is written too
     place = F.struct("key", "path", "number")
-    several = held.where((F.col("number") >= 0) & (F.col("size") >= least_bytes)).groupBy("digest").agg(F.max(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
+    several = held.where((F.col("number") >= 0) & F.col("error").isNull() & (F.col("size") >= least_bytes)).groupBy("digest").agg(F.max(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
     marked = held.join(several, "digest", "left")
     own = (F.col("kept.path") == F.col("path")) & (F.col("kept.number") == F.col("number"))
-    plan = marked.withColumn("kept", F.when(~own, F.col("kept"))).select("path", "number", F.col("kept.path").alias("to_path"), F.col("kept.number").alias("to_number"), F.col("kept.key").alias("to_key"))
+    plan = marked.withColumn("kept", F.when(~own, F.col("kept"))).select("path", "number", F.col("kept.path").alias("to_path"), F.col("kept.number").alias("to_number"), F.col("kept.key").alias("to_key"), "error")
     plan = plan.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, files.count())), "path").sortWithinPartitions("path", "number")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, archive, records, made = None, None, iter(()), []
+        now, archive, records, made, errors = None, None, iter(()), [], []
 
-        def close() -> None:
-            if archive is not None:
-                made.append(archive.close())
+        def flush() -> pa.RecordBatch:
+            kind = pa.list_(pa.struct([("number", pa.int64()), ("error", pa.string())]))
+            made.append((archive.close(), [{"number": n, "error": e} for n, e in errors]))
+            out = pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([e for _, e in made], kind)], ["path", "errors"])
+            made.clear()
+            errors.clear()
+            return out
 
         for batch in batches:
-            for path, number, to_path, to_number, to_key in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for path, number, to_path, to_number, to_key, error in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if path != now:
-                    close()
+                    if archive is not None:
+                        yield flush()
                     now, archive, records = path, _Archive(folder, "warc"), read_arc(_gunzipped(path))
                     name = path.rpartition("/")[2]
                     about = f"software: gaugewright\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode()
                     archive.add(_warc("warcinfo", [("WARC-Record-ID", record_id(path, -1)), ("WARC-Date", warc_date("")), ("Content-Type", "application/warc-fields")], about))
+                if error is not None:
+                    errors.append((number, error))
                 if number >= 0:
-                    archive.add(_converted(next(records), path, None if to_number is None else (to_path, to_number, to_key)))
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["path"])
+                    record = next(records)
+                    if error is None:
+                        archive.add(_converted(record, path, None if to_number is None else (to_path, to_number, to_key)))
+        if archive is not None:
+            yield flush()
 
-    return written(plan.mapInArrow(write, "path string"), "warc-files")
+    return written(plan.mapInArrow(write, "path string, errors array<struct<number: long, error: string>>"), "warc-files")
 
 
 def _converted(record: ArcRecord, path: str, to: tuple[str, int, int | None] | None) -> bytes:
@@ -240,16 +264,16 @@ def _converted(record: ArcRecord, path: str, to: tuple[str, int, int | None] | N
 
 
 def read_warc(files: DataFrame, *, payloads: bool = False) -> DataFrame:
-    """(page_id, record_id, url, date, record_type, payload_bytes, payload_digest, refers_to, refers_to_record) of the records of WARC files (path), warcinfo left out.
+    """(page_id, record_id, url, date, record_type, payload_bytes, payload_digest, refers_to, refers_to_record, error) of the records of WARC files (path), warcinfo left out.
 
-    payload_digest is SHA-1 in lower-case hex; that of a whole record is computed again, and an error if it
-    isn't what the record says. refers_to is the page_id of the record that a revisit refers to. With
+    payload_digest is SHA-1 in lower-case hex; that of a whole record is computed again, and where it isn't what
+    the record says, error says so; else it is null. refers_to is the page_id of the record that a revisit refers to. With
     ``payloads``, a column payload of a whole record's bytes follows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "record_id", "url", "date", "record_type", "payload_bytes", "payload_digest", "refers_to", "refers_to_record", *["payload"] * payloads]
-        types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.binary()] * payloads]
+        names = ["page_id", "record_id", "url", "date", "record_type", "payload_bytes", "payload_digest", "refers_to", "refers_to_record", "error", *["payload"] * payloads]
+        types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * payloads]
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
@@ -266,7 +290,7 @@ def read_warc(files: DataFrame, *, payloads: bool = False) -> DataFrame:
                             rows = []
                 yield flush(rows)
 
-    return _dealt(files).mapInArrow(read, "page_id long, record_id string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string" + ", payload binary" * payloads)
+    return _dealt(files).mapInArrow(read, "page_id long, record_id string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, error string" + ", payload binary" * payloads)
 
 
 def _warc_rows(stream: io.BufferedReader) -> Iterator[tuple]:
@@ -284,8 +308,7 @@ def _warc_rows(stream: io.BufferedReader) -> Iterator[tuple]:
             continue
         record = ArcRecord(0, {}, block)
         head, payload = record.parts
-        said = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-        if kind != "revisit" and hashlib.sha1(payload).hexdigest() != said:
-            raise ValueError(f"{fields['warc-record-id']}: payload digest")
+        said, own = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(), hashlib.sha1(payload).hexdigest()
+        error = f"payload has digest {own}" if kind != "revisit" and own != said else None
         to = fields.get("x-refers-to-page-id")
-        yield _key(head), fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-date"], kind, int(fields.get("x-payload-length", len(payload))), said, int(to) if to else None, fields.get("warc-refers-to"), None if kind == "revisit" else payload
+        yield _key(head), fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-date"], kind, int(fields.get("x-payload-length", len(payload))), said, int(to) if to else None, fields.get("warc-refers-to"), error, None if kind == "revisit" else payload

@@ -25,12 +25,40 @@ def test_legacy_url_with_spaces():
     assert next(read_arc(arc(1, [line]))).fields["URL"] == "http://a/b c d"
 
 
-def test_broken_archives():
-    for data in (b"no arc", warc._version_block(1, "x").replace(b"1 0 ", b"7 0 "), warc._version_block(1, "x") + b"http://a 1.1.1.1 2000 text/html 99\nabc", warc._version_block(2, "x") + b"http://a 1.1.1.1 2000 text/html 3\nabc\n"):
+def test_spaced_content_type():
+    """Spaces in the content type shift no other field, in either version, with or without spaces in the URL."""
+    for version, more in ((1, b""), (2, b"200 - - 0 name ")):
+        for url in (b"http://a/b", b"http://a/b c d"):
+            line = url + b" 1.2.3.4 19970102030405 text/html; charset=utf-8; x=1 " + more + b"3\nabc\n"
+            fields = next(read_arc(arc(version, [line]))).fields
+            assert (fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"]) == (url.decode(), "1.2.3.4", "19970102030405", "text/html; charset=utf-8; x=1")
+
+
+def test_heads():
+    """A head ends at the first blank line, whichever line ends it has."""
+    for block, parts in ((b"HTTP/1.0 200 OK\nA: b\n\nbody\r\n\r\nmore", (b"HTTP/1.0 200 OK\nA: b\n\n", b"body\r\n\r\nmore")), (b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody\n\nmore", (b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n", b"body\n\nmore")), (b"HTTP/1.0 204", (b"HTTP/1.0 204", b""))):
+        assert next(read_arc(arc(1, [arc_record(1, "http://a", block)]))).parts == parts
+
+
+def test_no_archives():
+    for data in (b"no arc", warc._version_block(1, "x").replace(b"1 0 ", b"7 0 ")):
         with pytest.raises(ValueError):
             list(read_arc(io.BufferedReader(io.BytesIO(data))))
 
 
+def test_bad_records_are_left_out(spark, tmp_path):
+    """What is wrong is told beside the file; the records around it are converted."""
+    good = [arc_record(1, f"http://a/{i}", b"payload %d" % i) for i in range(3)]
+    (tmp_path / "a.arc").write_bytes(warc._version_block(1, "a") + good[0] + b"junk line\nmore junk\n" + good[1] + good[2] + b"http://a/9 1.1.1.1 20000101000000 text/html 99\nshort")
+    (tmp_path / "b.arc").write_bytes(b"no archive at all")
+    (tmp_path / "c.arc").write_bytes(warc._version_block(2, "c") + arc_record(2, "http://c", b"HTTP/1.0 200 OK\nX-Page-Id: 7\n\nhello"))
+    files = convert(spark.createDataFrame([(f"file://{tmp_path}/{x}.arc",) for x in "abc"], "path string"))
+    errors = sorted([e["number"] for e in r["errors"]] for r in files.collect())
+    assert errors == [[], [-1], [1, 4]]
+    got = sorted((r["url"], r["payload_bytes"], r["error"], r["page_id"]) for r in read_warc(files).collect())
+    assert got == [("http://a/0", 9, None, None), ("http://a/1", 9, None, None), ("http://a/2", 9, None, None), ("http://c", 5, None, 7)]
+
+
 def test_dates():
     assert warc_date("19970102030405") == "1997-01-02T03:04:05Z"
     assert warc_date("199701") == "1997-01-01T00:00:00Z"
