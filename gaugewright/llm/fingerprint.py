@@ -6,6 +6,12 @@ of three sub-tables; a cell holds a count, a sum of digests and a sum of check v
 versions subtract cell by cell; cells that hold a single digest are peeled until nothing is left, which
 recovers the digests that only one version has. If the sketch is too small for that, both are built again
 four times as large.
+
+A stored sketch grows with its text's number of paragraphs in steps of four, at about one cell for five to
+twenty of them, so two fingerprints alone give away a difference of some 4 to 15 % of the larger text's
+paragraphs, and of about 20 in a short one. A larger sketch folds to a smaller one's size, as cells are taken
+by the low bits of a hash. ``compared`` reads two stored fingerprints; a greater difference needs both texts,
+from which ``likeness`` builds larger sketches.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ from pyspark.sql import types as T
 from gaugewright.llm import textkit
 from gaugewright.llm.ordered import NO_ID, cut_points, range_of
 
-#: Cells of a sub-table of the stored sketch; growth of a retry; a word ends a paragraph piece if its hash is a multiple of CUT; most words of a piece; bytes of a word, longer ones are several.
+#: Least cells of a sub-table of the stored sketch; paragraphs for which a sub-table has a cell at least; growth of a retry; a word ends a paragraph piece if its hash is a multiple of CUT; most words of a piece; bytes of a word, longer ones are several.
 CELLS = 8
+SPREAD = 64
 GROWTH = 4
 CUT = 4
 PIECE = 16
@@ -115,6 +122,14 @@ class Cells:
         return ((self.count != 0) | (self.total != 0) | (self.check != 0)).reshape(-1, 3 * self.size).any(axis=1)
 
 
+def stored_size(paragraphs: np.ndarray) -> np.ndarray:
+    """Cells of a sub-table of the stored sketches of texts of so many paragraphs: CELLS, times GROWTH as often as they need."""
+    size = np.full(len(paragraphs), CELLS, np.int64)
+    while (small := size * SPREAD < paragraphs).any():
+        size[small] *= GROWTH
+    return size
+
+
 def _slices(digests: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position among rows, digest) of all digests of some texts."""
     length = first[rows + 1] - first[rows]
@@ -123,41 +138,89 @@ def _slices(digests: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[n
     return np.repeat(np.arange(len(rows)), length), digests[at]
 
 
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray, size: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(pair, digest, sign) of the digests that only a's text left[i] (1) or only b's text right[i] (-1) has, and the number of retries."""
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(pair, digest, sign) of the digests that only a's text left[i] (1) or only b's text right[i] (-1) has, and the number of retries.
+
+    The first try has the cells of the stored sketches, the larger folded to the smaller's size.
+    """
     found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    sizes = np.minimum(*(stored_size(first[rows + 1] - first[rows]) for (_, first), rows in ((a, left), (b, right))))
     waiting, tries = np.arange(len(left)), 0
     while len(waiting):
-        cells = Cells(len(waiting), size, seed=tries)
-        for side, rows, sign in ((a, left, 1), (b, right, -1)):
-            text, digest = _slices(*side, rows[waiting])
-            cells.add(text, digest, np.full(len(text), sign))
-        text, digest, sign = cells.peel()
-        stuck = cells.left()
-        keep = ~stuck[text]
-        found.append((waiting[text[keep]], digest[keep], sign[keep]))
-        waiting, size, tries = waiting[stuck], size * GROWTH, tries + 1
+        stuck = np.zeros(len(left), bool)
+        for size in np.unique(sizes[waiting]).tolist():
+            some = waiting[sizes[waiting] == size]
+            cells = Cells(len(some), size, seed=tries)
+            for side, rows, sign in ((a, left, 1), (b, right, -1)):
+                text, digest = _slices(*side, rows[some])
+                cells.add(text, digest, np.full(len(text), sign))
+            text, digest, sign = cells.peel()
+            stuck[some] = cells.left()
+            keep = ~stuck[some[text]]
+            found.append((some[text[keep]], digest[keep], sign[keep]))
+        waiting, tries = waiting[stuck[waiting]], tries + 1
+        sizes *= GROWTH
     return *(np.concatenate(x) for x in zip(*found, strict=True)), tries - 1
 
 
+def _near(sizes: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """Shared paragraphs over all, from the paragraphs of both texts together and those that only one has; 1 without any."""
+    shared = (sizes - only) / 2
+    return np.where(sizes > 0, shared / np.maximum(shared + only, 1), 1.0)
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Shared paragraphs over all paragraphs of both, for pairs of texts, from the recovered difference; 1 for two without any."""
     pair, _, sign, _ = differences(a, b, left, right)
     sizes = (a[1][left + 1] - a[1][left]) + (b[1][right + 1] - b[1][right])
-    only = np.bincount(pair, minlength=len(left))
-    shared = (sizes - only) / 2
-    return np.where(sizes > 0, shared / np.maximum(shared + only, 1), 1.0)
+    return _near(sizes, np.bincount(pair, minlength=len(left)))
+
+
+_CELL = np.dtype([("count", "<u4"), ("total", "<u8"), ("check", "<u8")])
 
 
 def sketches(digests: np.ndarray, first: np.ndarray) -> list[str]:
-    """The stored form of each text's sketch: number of paragraphs, then the cells (count, digest sum, low half of the check sum) in base64."""
-    n = len(first) - 1
-    cells = Cells(n, CELLS, seed=0)
-    text, digest = _slices(digests, first, np.arange(n))
-    cells.add(text, digest, np.ones(len(text), np.int64))
-    raw = np.zeros((n, 3 * CELLS), dtype=[("count", "<u4"), ("total", "<u8"), ("check", "<u4")])
-    raw["count"], raw["total"], raw["check"] = (x.reshape(n, -1) for x in (cells.count.astype(np.uint32), cells.total, (cells.check & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
-    return [f"{int(k)}:{base64.b64encode(row.tobytes()).decode()}" for k, row in zip(np.diff(first), raw, strict=True)]
+    """The stored form of each text's sketch: number of paragraphs, then the cells (count, digest sum, check sum) in base64."""
+    out, sizes = [""] * (len(first) - 1), stored_size(np.diff(first))
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        cells = Cells(len(rows), size, seed=0)
+        text, digest = _slices(digests, first, rows)
+        cells.add(text, digest, np.ones(len(text), np.int64))
+        raw = np.zeros((len(rows), 3 * size), _CELL)
+        raw["count"], raw["total"], raw["check"] = (x.reshape(len(rows), -1) for x in (cells.count.astype(np.uint32), cells.total, cells.check))
+        for i, k, row in zip(rows.tolist(), np.diff(first)[rows].tolist(), raw, strict=True):
+            out[i] = f"{k}:{base64.b64encode(row.tobytes()).decode()}"
+    return out
+
+
+def read_sketch(stored: str) -> tuple[int, Cells]:
+    """(paragraphs, cells) of a stored sketch."""
+    paragraphs, _, data = stored.partition(":")
+    raw = np.frombuffer(base64.b64decode(data), _CELL)
+    cells = Cells(1, len(raw) // 3, seed=0)
+    cells.count, cells.total, cells.check = raw["count"].astype(np.int64), raw["total"].copy(), raw["check"].copy()
+    return int(paragraphs), cells
+
+
+def _folded(cells: Cells, size: int) -> Cells:
+    out = Cells(1, size, seed=0)
+    for name in ("count", "total", "check"):
+        setattr(out, name, getattr(cells, name).reshape(3, -1, size).sum(axis=1, dtype=getattr(cells, name).dtype).reshape(-1))
+    return out
+
+
+def compared(a: str, b: str) -> tuple[list[int], list[int], float] | None:
+    """(paragraph digests that only a's text has, those that only b's has, likeness) from two stored fingerprints alone; None if they differ in more than the sketches hold."""
+    (n, left), (m, right) = read_sketch(a), read_sketch(b)
+    size = min(left.size, right.size)
+    left, right = _folded(left, size), _folded(right, size)
+    for name in ("count", "total", "check"):
+        setattr(left, name, getattr(left, name) - getattr(right, name))
+    _, digest, sign = left.peel()
+    if left.left()[0]:
+        return None
+    return digest[sign > 0].tolist(), digest[sign < 0].tolist(), float(_near(np.array([n + m]), np.array([len(digest)]))[0])
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -184,8 +247,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 def version_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of an edited version, and how alike sketches of both, and of the next document, are.
 
-    For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The
-    edited text has its last floor(n_chars / 3) code points replaced by the first as many, or all, of the next
+    For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. near_*
+    are what ``compared`` gives for the fingerprints, and where it gives None, what larger sketches do. The edited text has its last floor(n_chars / 3) code points replaced by the first as many, or all, of the next
     text by descending doc_id (after the last: the first; the text itself if it is the only one). A null text
     is empty; the sketch of an empty or blank text is empty, and two of them are alike to 1. Rows of one doc_id
     stand in the order of their texts' hashes; rows without doc_id come last. Equal texts have equal

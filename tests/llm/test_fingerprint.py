@@ -1,12 +1,14 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from gaugewright.llm.fingerprint import differences, likeness, paragraphs, version_fingerprints
+from gaugewright.llm import fingerprint, textkit
+from gaugewright.llm.fingerprint import CUT, LONGEST, PIECE, Cells, compared, differences, likeness, paragraphs, sketches, version_fingerprints
 
 
 def digests(texts):
@@ -34,6 +36,70 @@ def test_paragraph_cuts_follow_content():
     assert len(sets[0]) > 40 and len(sets[0] ^ sets[1]) <= 6 and 0 < len(sets[0] ^ sets[2]) <= 6
 
 
+def by_hand(text):
+    """The paragraph pieces of a text as a multiset, from the rules alone: lines, cut after words whose hash is a multiple of CUT, at most PIECE words each."""
+    out = Counter()
+    for line in text.split("\n"):
+        words = [w[i : i + LONGEST] for w in re.findall(rb"[^\x20\x09-\x0d]+", line.encode()) for i in range(0, len(w), LONGEST)]
+        piece = []
+        for w in words:
+            piece.append(w.lower())
+            hashed = textkit.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), textkit.NONSPACE).hash[0]
+            if hashed % np.uint64(CUT) == 0 or len(piece) == PIECE:
+                out[tuple(piece)] += 1
+                piece = []
+        if piece:
+            out[tuple(piece)] += 1
+    return out
+
+
+def jaccard(a, b):
+    a, b = by_hand(a), by_hand(b)
+    return sum((a & b).values()) / sum((a | b).values()) if a | b else 1.0
+
+
+def test_near_by_brute_force(documents):
+    """near_edited and near_next are multiset Jaccard of the pieces, and what the stored fingerprints give alone wherever they hold enough."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 3, 7, 40])))
+    base = [word() for _ in range(3000)]
+    rows = [(i, "".join(word() + rng.choice([" ", "  ", "\n"]) for _ in range(rng.choice([0, 3, 40, 900])))) for i in range(30)]
+    rows += [(100 + i, " ".join([*base[: 500 * i], "edit", *base[500 * i :]])) for i in range(5)] + [(200 + i, "same\n" * (20 + i)) for i in range(3)]
+    got = {r["doc_id"]: r for r in version_fingerprints(documents(rows)).collect()}
+    order, alone = sorted(rows, reverse=True), 0
+    for i, (d, t) in enumerate(order):
+        following, after = order[(i + 1) % len(order)]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        r = got[d]
+        assert r["near_edited"] == pytest.approx(jaccard(t, edited)) and r["near_next"] == pytest.approx(jaccard(t, after))
+        for other, near in ((r["edited_fingerprint"], "near_edited"), (got[following]["fingerprint"], "near_next")):
+            if (found := compared(r["fingerprint"], other)) is not None:
+                assert found[2] == pytest.approx(r[near])
+                alone += 1
+    assert alone >= 10 and compared(got[101]["fingerprint"], got[102]["fingerprint"]) is not None
+
+
+def test_fingerprints_compare(documents):
+    """Two stored fingerprints give the digests that only one text has, also where the sketches are of different sizes."""
+    rng = random.Random(5)
+    lines = [f"line {i} {rng.random()}" for i in range(420)]
+    texts = ["\n".join(lines), "\n".join(lines[:300] + lines[303:] + ["new"]), "\n".join(lines[:3]), "", "\n".join(lines[:2] * 2)]
+    d, first = digests(texts)
+    stored, sets = sketches(d, first), [set(d[first[i] : first[i + 1]].tolist()) for i in range(len(texts))]
+    assert len(stored[0]) > len(stored[2])
+    for i, j in ((0, 0), (0, 1), (2, 3), (2, 4), (3, 3), (4, 3)):
+        left, right, near = compared(stored[i], stored[j])
+        assert (set(left), set(right)) == (sets[i] - sets[j], sets[j] - sets[i]) and len(left) == len(set(left))
+        assert near == pytest.approx(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0)
+    assert compared(stored[0], stored[2]) is None
+    # a larger sketch folds to what the smaller size would have held
+    big = Cells(1, 32, seed=0)
+    big.add(np.zeros(len(sets[1]), np.int64), np.array(sorted(sets[1]), np.uint64), np.ones(len(sets[1]), np.int64))
+    small = Cells(1, 8, seed=0)
+    small.add(np.zeros(len(sets[1]), np.int64), np.array(sorted(sets[1]), np.uint64), np.ones(len(sets[1]), np.int64))
+    assert (fingerprint._folded(big, 8).total == small.total).all() and (fingerprint._folded(big, 8).count == small.count).all()
+
+
 def expected(rows):
     order = sorted(rows, key=lambda r: -r[0])
     out = {}
