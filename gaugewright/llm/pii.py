@@ -1,10 +1,13 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 E-mail and network addresses, card and phone numbers are found by pattern; each distinct value is a protected
-entity. Over the corpus, the documents that hold it and a word are counted: a term's point-wise mutual information
-with an entity, as a share of the entity's own information, is its disclosure, 1 where the term is never
-without the entity. A term that reaches the threshold for any entity is sensitive in every document, with
-that entity or without, and is generalised there, or removed where it all but names the entity.
+entity, and so is what its holder shares with others: an address's domain, the network of 256 addresses, a
+phone number without its last four digits. Over the corpus, the documents that hold an entity and a word are
+counted: a term's point-wise mutual information with an entity, as a share of the entity's own information, is
+its disclosure, 1 where the term is never without the entity. A term counts only where different texts enough
+have both, and where so many by chance would be far less likely than one document in the corpus. A term that
+reaches the threshold for any entity is sensitive in every document, with that entity or without, and is
+generalised there, or removed where it all but names the entity.
 """
 
 from __future__ import annotations
@@ -12,11 +15,14 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import uuid
 from collections.abc import Iterator
+from math import log2
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +35,12 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_TEXTS = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Rows of a dictionary file, of which a worker holds one, and candidate terms that one pass counts.
-DICTIONARY_ROWS = 500_000
+#: Bits of surprise beyond those of one document that the texts with both a term and an entity must have: texts times the entity's bits.
+CHANCE_BITS = 8.0
+#: Rows of a dictionary file, of which a worker holds one; text that is held against one file after another, where there are several.
+DICTIONARY_ROWS = 2_000_000
+TEXT_BYTES = 64 << 20
+#: Most candidate terms that workers hold to count; more are joined by shuffle.
 TERMS = 4_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -100,9 +110,19 @@ def outside(text: str, spans: list[tuple[str, int, int]]) -> Outside:
     return Outside(found.hash[free], start[free], end[free])
 
 
+def _names(kind: str, value: str) -> list[str]:
+    """A value as it is compared, and what its holder shares with others."""
+    if kind == "email":
+        return [f"email:{value.lower()}", f"domain:{value.lower().rpartition('@')[2]}"]
+    if kind == "ip":
+        return [f"ip:{value}", f"network:{value.rpartition('.')[0]}"]
+    digits = _NOT_DIGITS.sub("", value)
+    return [f"{kind}:{digits}", f"exchange:{digits[:-4]}"] if kind == "phone" else [f"{kind}:{digits}"]
+
+
 def entities(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     """Hashes of the distinct entities that spans of a text mention."""
-    names = [f"{k}:{text[s:e].lower() if k in ('email', 'ip') else _NOT_DIGITS.sub('', text[s:e])}".encode() for k, s, e in spans]
+    names = [n.encode() for k, s, e in spans for n in _names(k, text[s:e])]
     data, ends = np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(x) for x in names])
     return np.unique(textkit.words(data, np.concatenate([[0], ends]), np.ones(256, bool)).hash)
 
@@ -155,8 +175,22 @@ def _counter(terms: np.ndarray):
     return count
 
 
+def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, documents with it) of all words, a batch at a time."""
+    for batch in batches:
+        for _, _, data, offsets in textkit.chunks(batch.column("text"), 8 << 20):
+            found = textkit.words(data, offsets, textkit.ALNUM)
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(found.first))
+            order = np.lexsort((doc, found.hash))
+            h, d = found.hash[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            term, times = np.unique(h[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(times.astype(np.int64))], ["term", "docs"])
+
+
 def disclosures(docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of terms that reach GENERALISE for an entity, from the co-occurrence in all of docs."""
+    """(entity, term, n_both, n_term, n_entity, disclosure) of terms that reach GENERALISE for an entity, from the co-occurrence in all of docs."""
     docs = docs.select("text")
     n = docs.count()
     found = docs.mapInArrow(textkit.tidy(_mentioned), "copy long, entities array<long>, terms array<long>")
@@ -168,21 +202,18 @@ def disclosures(docs: DataFrame) -> DataFrame:
     # by text, not by entity: one that many texts mention would gather all their words
     named = texts.select("copy", F.explode("entities").alias("entity")).join(held.select("entity"), "entity").groupBy("copy").agg(F.collect_list("entity").alias("entities"))
     named = texts.drop("entities").join(named, "copy").select("docs", "terms", F.explode("entities").alias("entity"))
-    both = named.select("docs", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(*counts)
-    both = written(both.where(F.col("texts") >= LEAST_TEXTS).select("entity", "term", F.col("n").alias("n_both")), "shared")
+    both = named.select("docs", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(*counts).where(F.col("texts") >= LEAST_TEXTS)
+    bits = F.log2(F.lit(float(n)) / F.col("n_entity"))
+    both = both.join(held, "entity").where(F.col("texts") * bits >= log2(max(n, 1)) + CHANCE_BITS)
+    both = written(both.select("entity", "term", "n_entity", F.col("n").alias("n_both")), "shared")
     terms = both.select("term").distinct()
-    blocks = -(-terms.count() // TERMS)
-    times = None
-    for b in range(blocks):
-        # bounded by TERMS, by count
-        some = np.sort(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()["term"].to_numpy().view(np.uint64))
-        part = docs.mapInArrow(textkit.tidy(_counter(some)), "term long, docs long")
-        times = part if times is None else times.unionByName(part)
-    if times is None:
-        return docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
-    times = times.groupBy("term").agg(F.sum("docs").alias("n_term"))
-    found = both.join(times, "term").join(held, "entity")
-    return found.withColumn("disclosure", 1 - F.log2(F.col("n_term") / F.col("n_both")) / F.log2(F.lit(float(n)) / F.col("n_entity"))).where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    if not (size := terms.count()):
+        return docs.sparkSession.createDataFrame([], "entity long, term long, n_both long, n_term long, n_entity long, disclosure double")
+    # at most TERMS, by count; more candidates meet the counts of all words by shuffle
+    some = np.sort(terms.toArrow()["term"].to_numpy().view(np.uint64)) if size <= TERMS else None
+    times = docs.mapInArrow(textkit.tidy(_count_all if some is None else _counter(some)), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("n_term"))
+    found = both.join(times, "term").withColumn("disclosure", 1 - F.log2(F.col("n_term") / F.col("n_both")) / bits)
+    return found.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "n_both", "n_term", "n_entity", "disclosure")
 
 
 class Dictionary:
@@ -190,23 +221,48 @@ class Dictionary:
 
     def __init__(self, docs: DataFrame):
         table = written(disclosures(docs).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosures")
-        self.files = -(-table.count() // DICTIONARY_ROWS)
-        self.folder = shared_folder(docs.sparkSession, "dictionary")
+        self.files = files = -(-table.count() // DICTIONARY_ROWS)
+        self.folder = folder = shared_folder(docs.sparkSession, "dictionary")
         self._held: tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
-        for b in range(self.files):
-            part = table.where(F.pmod(F.xxhash64("term"), F.lit(self.files)) == b).toArrow()
-            files, path = opened(f"{self.folder}/{b}.npz")
-            files.create_dir(path.rpartition("/")[0], recursive=True)
-            with files.open_output_stream(path) as out:
-                np.savez(held := io.BytesIO(), **{c: part[c].to_numpy() for c in part.column_names})
-                out.write(held.getvalue())
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # repartitionById gives a task one file
+            held = [x for x in batches if x.num_rows]
+            if not held:
+                return
+            part = pa.Table.from_batches(held)
+            system, path = opened(f"{folder}/{part['file'][0].as_py()}.npz")
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(draft := f"{path}.{uuid.uuid4().hex}") as out:
+                np.savez(data := io.BytesIO(), term=part["term"].to_numpy(), disclosure=part["disclosure"].to_numpy())
+                out.write(data.getvalue())
+            system.move(draft, path)
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])], ["n"])
+
+        if files:
+            table.withColumn("file", F.pmod(F.xxhash64("term"), F.lit(files)).cast("int")).repartitionById(files, "file").mapInArrow(textkit.tidy(write), "n long").agg(F.sum("n")).first()
+
+    def grouped(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of up to TEXT_BYTES where there are several files, so a file is loaded once for so much text; else a few rows at a time."""
+        held, size = [], 0
+        for batch in textkit.slices(batches):
+            if held and size + batch.nbytes > (TEXT_BYTES if self.files > 1 else 0):
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     def _block(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted terms of a file, their disclosures and low bits."""
         if self._held is None or self._held[0] != b:
             files, path = opened(f"{self.folder}/{b}.npz")
-            with files.open_input_stream(path) as f:
-                held = np.load(io.BytesIO(f.read()))
+            if files.get_file_info(path).type == fs.FileType.NotFound:  # no term fell to it
+                held = {"term": np.zeros(0, np.int64), "disclosure": np.zeros(0)}
+            else:
+                with files.open_input_stream(path) as f:
+                    held = np.load(io.BytesIO(f.read()))
             terms, disclosure = held["term"].view(np.uint64), held["disclosure"]
             order = np.argsort(terms)
             self._held = (b, (terms[order], disclosure[order], _bits(terms)))
@@ -251,7 +307,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         typed = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("disclosure", pa.float64())]))
-        for batch in batches:
+        for batch in dictionary.grouped(batches):
             found = [[dict(zip(("kind", "start", "end", "disclosure"), s, strict=True)) for s in spans] for spans in dictionary.spans(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, typed)], ["doc_id", "spans"])
 
@@ -271,12 +327,16 @@ def cleaned(text: str, spans: list[tuple[str, int, int, float]]) -> str:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """All columns of docs, the text without what personal_data finds; ``n_chars``, if there is one, counts its code points. A null text stays null."""
+    """All columns of docs, the text without what personal_data finds; ``n_chars``, if there is one, counts its code points.
+
+    A null text stays null, with its n_chars; repeated rows are cleaned alike; an empty table gives an empty
+    result; other columns stay as they are, whatever their names.
+    """
     dictionary = Dictionary(docs)
     schema = docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.slices(batches):
+        for batch in dictionary.grouped(batches):
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             texts = [cleaned(t, found) if found else t for t, found in zip(columns["text"].to_pylist(), dictionary.spans(columns["text"]), strict=True)]
             columns["text"] = pa.array(texts, columns["text"].type)

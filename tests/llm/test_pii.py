@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -52,12 +53,12 @@ def test_terms_that_disclose(documents):
     for i in range(1, 6):
         terms = {texts[i][s:e] for k, s, e in found[i][0] if k == "term"}
         assert terms == {"zanzibar"}
-    assert found[1002] == [[]] == found[1000] == found[1001]
+    assert found[1002] == [[("term", texts[1002].index("zanzibar"), len(texts[1002]))]] and [[]] == found[1000] == found[1001]
     assert all(k != "term" for s in found[12] for k, _, _ in s)
     assert len(found[0]) == 2
     clean = {r["doc_id"]: r for r in sanitised(documents(rows)).collect()}
     assert "zanzibar" not in clean[1]["text"] and "[EMAIL]" in clean[1]["text"] and clean[1]["n_chars"] == len(clean[1]["text"])
-    assert clean[1002]["text"] == texts[1002] and clean[1000]["text"] is None and clean[1]["part"] == "x"
+    assert clean[1002]["text"] == texts[1002].removesuffix("zanzibar") and clean[1000]["text"] is None and clean[1]["part"] == "x"
 
 
 @pytest.mark.parametrize("rows_of_a_file", [1, 500_000])
@@ -112,6 +113,7 @@ def test_documents_count_once(documents):
 def test_dictionary_in_several_files(documents, monkeypatch):
     monkeypatch.setattr(pii, "DICTIONARY_ROWS", 1)
     monkeypatch.setattr(pii, "TERMS", 1)
+    monkeypatch.setattr(pii, "TEXT_BYTES", 500)
     rows = [(i * 10 + j, f"w{i * 1000 + j * 7} w{j * 31} special{i} p{i}@x.yy w{i * 77 + j} v{j}") for i in range(4) for j in range(5)] + [(500 + i, f"plain text number {i}") for i in range(50)]
     for r in personal_data(documents(rows)).collect():
         kinds = [s["kind"] for s in r["spans"]]
@@ -120,6 +122,70 @@ def test_dictionary_in_several_files(documents, monkeypatch):
             assert f"special{r['doc_id'] // 10}" in {dict(rows)[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]}
 
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return text.translate({i: i + 32 for i in range(65, 91)})
+
+
+def by_hand(rows):
+    """{term: greatest disclosure} over all entities, from the definition."""
+    docs = [t for _, t in rows if t]
+    n, names, words = len(rows), [], []
+    for t in docs:
+        found = set()
+        for kind, s, e in brute(t):
+            v = t[s:e].lower()
+            digits = re.sub("[^0-9]", "", v)
+            found |= {"email": {v, v.split("@")[-1]}, "ip": {v, v.rsplit(".", 1)[0]}, "card": {f"c{digits}"}, "phone": {f"p{digits}", f"p{digits[:-4]}"}}[kind]
+        names.append(found)
+        words.append(set(WORD.findall(lower(t))))
+    out = {}
+    for entity in set().union(*names):
+        has = [entity in x for x in names]
+        n_entity = sum(has)
+        if len({t for t, h in zip(docs, has) if h}) < pii.LEAST_TEXTS or n_entity == n:
+            continue
+        bits = math.log2(n / n_entity)
+        for term in set().union(*(w for w, h in zip(words, has) if h)):
+            n_both, n_term = sum(term in w and h for w, h in zip(words, has)), sum(term in w for w in words)
+            texts = len({t for t, w, h in zip(docs, words, has) if h and term in w})
+            disclosure = 1 - math.log2(n_term / n_both) / bits
+            if texts >= pii.LEAST_TEXTS and texts * bits >= math.log2(n) + pii.CHANCE_BITS and disclosure >= pii.GENERALISE - 1e-12:
+                out[term] = max(out.get(term, 0), disclosure)
+    return out
+
+
+@pytest.mark.parametrize("seed,most", [(0, 4_000_000), (1, 4_000_000), (1, 10)])
+def test_disclosure_by_brute_force(documents, monkeypatch, seed, most):
+    """Term spans and their disclosures are those of the definition: addresses, domains, networks and exchanges, by chance or not, counted by workers or by shuffle."""
+    monkeypatch.setattr(pii, "TERMS", most)
+    rng = random.Random(seed)
+    common = [f"c{i}ommon" for i in range(60)] + ["Größe", "x1"]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(rng.randrange(4, 25))]
+        if i < 60:
+            g = i % 6
+            words += [f"p{i}@firm{g}.example", f"10.0.{g}.{i}", f"+49 30 55{g}{g} {1000 + i}", f"boss{g}" if rng.random() < 0.9 else "x", f"code{g // 2}", "Hello" if i % 3 else "hello"]
+            if g == 0:
+                words += ["Hauptbüro"]
+            rng.shuffle(words)
+        if 60 <= i < 64:
+            words += ["boss1", "code0"]
+        rows.append((i, " ".join(words)))
+    rows += [(500, None), (501, ""), (502, rows[3][1]), (502, rows[3][1])]
+    want, texts = by_hand(rows), dict(rows)
+    assert len(want) > 8
+    for r in personal_data(documents(rows)).collect():
+        text = texts[r["doc_id"]] or ""
+        inside = [(s, e) for _, s, e in brute(text)]
+        hit = [(m.start(), m.end(), want[m[0]]) for m in WORD.finditer(lower(text)) if m[0] in want and not any(s < m.end() and m.start() < e for s, e in inside)]
+        got = [(s["start"], s["end"], s["disclosure"]) for s in r["spans"] if s["kind"] == "term"]
+        assert [x[:2] for x in got] == [x[:2] for x in hit] and [x[2] for x in got] == pytest.approx([x[2] for x in hit])
+
+
 def test_cleaned():
     assert cleaned("a b@c.d e", [("email", 2, 7, 1.0), ("term", 0, 1, 0.9), ("term", 8, 9, 0.99)]) == "[TERM] [EMAIL] "
     assert cleaned("0123456789", [("ip", 0, 5, 1.0), ("card", 3, 8, 1.0)]) == "[IP][CARD]89"
