@@ -9,14 +9,18 @@ Which of the two a band uses is decided by estimated cost from its number of set
 A segment's signature is a bucket of sets. Where a set has at most e crowded buckets in a band, it leaves
 them: a similar pair has e + 1 equal segments, crowding is a property of the segment's content, so one
 equal segment remains that neither leaves. What is left are pairs from small buckets, which are verified
-one by one, and sets in crowded buckets, which are verified block by block with a prefix filter, where
-sets that are connected already are not compared again.
+one by one, and groups of sets that crowded buckets connect. A group's sets are dealt out to blocks, linked
+within each by a prefix filter, then one of each class of each block is linked with others, which makes one
+class of a group of near copies however large. Only sets outside of a group's greatest class are compared with
+all other blocks, so a set is copied as often as those fill blocks. Sets that are connected already are never
+compared.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +30,12 @@ from pyspark.sql import types as T
 
 from gaugewright.llm import textkit
 from gaugewright.llm.graph import components
-from gaugewright.llm.shared import written
+from gaugewright.llm.shared import removed, written, written_at
 
 #: Buckets of up to this many sets become pairs.
 SMALL_BUCKET = 4
 #: Shingles of a block of crowded sets.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 #: Most ids that are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: Signatures of a partition of the bucket stage.
@@ -139,8 +143,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 100_000]) for v in (crowd, a, b)], ["crowd", "a", "b"])
 
 
-def link_block(keys: np.ndarray, first: np.ndarray, tokens: np.ndarray, percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Similar pairs that connect what the block's similar pairs connect; with ``left``, pairs of a left and a right set alone.
+def link_block(keys: np.ndarray, first: np.ndarray, tokens: np.ndarray, percent: int, left: np.ndarray | None = None, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Similar pairs that connect what the block's similar pairs connect; with ``left``, pairs of a left and a right set alone; ``classes`` are connected already.
 
     Set i is tokens[first[i]:first[i+1]]. Sets come by size; one looks up those before it by its rarest
     tokens, leaves those that are connected to it, and verifies the rest, the likeliest first.
@@ -155,7 +159,7 @@ def link_block(keys: np.ndarray, first: np.ndarray, tokens: np.ndarray, percent:
     order = np.lexsort((token, owner))
     token = token[order]
     frequency = np.sort(count)
-    label = np.arange(n)
+    label = np.arange(n) if classes is None else np.unique(classes, return_inverse=True)[1]
     mark = np.zeros(len(count), bool)
     postings: dict[int, list[int]] = {}
     edges = []
@@ -193,6 +197,70 @@ def link_block(keys: np.ndarray, first: np.ndarray, tokens: np.ndarray, percent:
     return edges
 
 
+def _linker(percent: int):
+    """A function from the sets of a task (key, tokens, i, j, block, class) to the links among them, or, where i and j differ, between blocks i and j."""
+
+    def link(table: pa.Table) -> pa.Table:
+        tokens = table["tokens"].combine_chunks()
+        first = tokens.offsets.to_numpy().astype(np.int64)
+        flat = tokens.values.to_numpy()[first[0] : first[-1]] if len(tokens) else np.zeros(0, np.int64)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        found = link_block(table["key"].to_numpy(), first - first[0], flat, percent, None if i == j else table["block"].to_numpy() == i, table["class"].to_numpy())
+        textkit.released()
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return link
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (root, key, n) with the blocks of their root, each of about BLOCK_SHINGLES, and the block of each."""
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    return members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+
+
+def _named(members: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """members with the class that links make of each."""
+    made = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("key"), F.col("root").alias("linked"))
+    return members.drop("class").join(made, "key", "left").withColumn("class", F.coalesce("linked", "key")).drop("linked")
+
+
+def _group_links(members: DataFrame, sets: DataFrame, percent: int, keep: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
+    """Tables of links (a, b) that connect what the similar pairs within groups do; members: (root, key, n), sets: (key, tokens)."""
+    link = _linker(percent)
+
+    def within(dealt: DataFrame, name: str) -> DataFrame:
+        one = dealt.select("key", "root", F.col("block").alias("i"), F.col("block").alias("j"), "block", "class")
+        return keep(sets.join(one, "key").groupBy("root", "i", "j").applyInArrow(link, "a long, b long"), name)
+
+    dealt = keep(_dealt(members.withColumn("class", F.col("key"))), "dealt")
+    links = [within(dealt, "inside")]
+    several = dealt.where("blocks > 1").select("root", "key", "n", "block", "class")
+    if not several.limit(1).count():
+        return links
+    # one of each class of each block, linked among themselves
+    named = keep(_named(several, links), "classes")
+    chosen = named.groupBy("root", "block", "class").agg(F.min(F.struct("key", "n")).alias("s")).select("root", "s.key", "s.n", "class")
+    links.append(within(_dealt(chosen), "between"))
+    # what is outside of the greatest class meets all other blocks
+    named = keep(_named(several, links), "classes")
+    sizes = named.groupBy("root", "class").agg(F.sum("n").alias("n"))
+    greatest = sizes.groupBy("root").agg(F.max(F.struct("n", "class")).alias("s")).select("root", F.col("s.class").alias("greatest"))
+    sides = named.select("root", "key", "n", "class").join(greatest, "root")
+    rest = keep(_dealt(sides.where("class <> greatest").drop("greatest")), "rest")
+    if not rest.limit(1).count():
+        return links
+    others = rest.select("root", F.col("blocks").alias("others")).distinct()
+    main = _dealt(sides.where("class = greatest").drop("greatest")).join(others, "root")
+    mains = main.select("root", F.col("blocks").alias("mains")).distinct()
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # blocks of the rest are 0 and on, those of the greatest class -1 and below, so a task's i is the lesser
+    among = rest.withColumn("other", F.explode(upto("blocks"))).select("root", "key", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    across = rest.join(mains, "root").withColumn("i", F.explode(F.transform(upto("mains"), lambda q: -1 - q))).select("root", "key", "class", "block", "i", F.col("block").alias("j"))
+    against = main.withColumn("j", F.explode(upto("others"))).withColumn("block", -1 - F.col("block")).select("root", "key", "class", "block", F.col("block").alias("i"), "j")
+    tasks = sets.join(among.unionByName(across).unionByName(against), "key")
+    return [*links, keep(tasks.groupBy("root", "i", "j").applyInArrow(link, "a long, b long"), "across")]
+
+
 def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; two documents link when 100 * intersection >= percent * union.
 
@@ -205,6 +273,12 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
+    temporary: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table, path = written_at(df, name)
+        temporary.append(path)
+        return table
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,17 +328,17 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), length))], ["sig", "key"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signatures // PARTITION_SIGNATURES))
-    buckets = written(docs.mapInArrow(textkit.tidy(signed), "sig long, key long").repartition(parts, "sig").mapInArrow(textkit.tidy(_buckets), "crowd byte, a long, b long"), "buckets")
+    buckets = keep(docs.mapInArrow(textkit.tidy(signed), "sig long, key long").repartition(parts, "sig").mapInArrow(textkit.tidy(_buckets), "crowd byte, a long, b long"), "buckets")
     pairs = buckets.where("crowd = 0").select("a", "b").distinct()
     crowded = buckets.where("crowd = 1").select(F.col("a").alias("sig"), F.col("b").alias("key")).withColumn("band", F.col("sig").bitwiseAND(F.lit(0xFF)))
     spare = F.element_at(F.array(*[F.lit(e) for _, _, e in plan]), (F.col("band") + 1).cast("int"))
     stays = crowded.groupBy("key", "band").agg(F.count("*").alias("times")).where(F.col("times") > spare).select("key", "band")
     crowded = crowded.join(stays, ["key", "band"], "left_semi")
-    group = written(components(crowded.select(F.col("sig").alias("a"), F.col("key").alias("b"))).join(crowded.select(F.col("key").alias("node")).distinct(), "node", "left_semi"), "groups")
-    pairs = written(pairs, "pairs")
+    group = keep(components(crowded.select(F.col("sig").alias("a"), F.col("key").alias("b"))).join(crowded.select(F.col("key").alias("node")).distinct(), "node", "left_semi"), "groups")
+    pairs = keep(pairs, "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(group.select(F.col("node").alias("key"))).distinct()
-    ids = written(narrow.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "ids")
+    ids = keep(narrow.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "ids")
     some = ids.select("doc_id").distinct()
     some = F.broadcast(some) if ids.count() <= BROADCAST_IDS else some
 
@@ -278,28 +352,18 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     # a repeated doc_id may bring other texts; the set of a key is the same whichever row it comes from
     unnamed = narrow.where("doc_id is null").limit(1).count() > 0
     chosen = docs if unnamed else docs.join(some, "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(textkit.tidy(listed_sets), "key long, tokens array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = keep(chosen.mapInArrow(textkit.tidy(listed_sets), "key long, tokens array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = left.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y"))).select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("shared"))
     verified = shared.where(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
 
-    members = sets.join(group.select(F.col("node").alias("key"), "root"), "key")
-    blocks = group.join(narrow.groupBy("key").agg(F.first("n_shingles").alias("n")), F.col("node") == F.col("key")).groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "root").withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int"))
-    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "tokens")
-
-    def link(table: pa.Table) -> pa.Table:
-        tokens = table["tokens"].combine_chunks()
-        first = tokens.offsets.to_numpy().astype(np.int64)
-        flat = tokens.values.to_numpy()[first[0] : first[-1]] if len(tokens) else np.zeros(0, np.int64)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        found = link_block(table["key"].to_numpy(), first - first[0], flat, percent, None if i == j else table["block"].to_numpy() == i)
-        textkit.released()
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    inside = tasks.groupBy("root", "i", "j").applyInArrow(link, "a long, b long")
-    # written, so no task runs two Python workers
-    classes = components(written(verified.unionByName(inside), "links"))
+    sizes = narrow.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"))
+    members = group.select(F.col("node").alias("key"), "root").join(sizes, "key").select("root", "key", "n")
+    found = [keep(verified, "verified"), *_group_links(members, sets, percent, keep)]
+    # from written links, so no task runs two Python workers
+    classes = components(reduce(DataFrame.unionByName, found))
+    for path in temporary:  # what is still read are sizes and classes
+        removed(spark, path)
     named = narrow.join(classes, F.col("key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
     lowest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(lowest, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -70,6 +70,26 @@ def test_crowded_blocks(spark, documents, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(docs, 4, 85)
 
 
+def test_families_of_a_group(spark, documents, monkeypatch):
+    """Families that share a passage are one crowded group of several classes in several blocks; links within and between them are brute force's."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 1500)
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 2)
+    across = []
+    linked = ngram_join._group_links
+    monkeypatch.setattr(ngram_join, "_group_links", lambda *a: across.append(linked(*a)) or across[-1])
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    docs = []
+    for g, many in enumerate((60, 25, 25, 6)):
+        base = [*shared, *(f"g{g}w{i}" for i in range(30))]
+        docs += [(len(docs) + i, " ".join(near(rng, base, rng.choice([0, 1, 2, 3, 5, 7])))) for i in range(many)]
+    bridge = [*shared, *(f"g0w{i}" for i in range(30))]
+    docs += [(500 + i, " ".join(bridge[: 90 - i] + [f"g1w{j}" for j in range(i)])) for i in range(0, 30, 2)]
+    got = jaccard_components(documents(docs), n=4, percent=85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(docs, 4, 85)
+    assert len(across[0]) == 3  # within blocks, between them, and what is outside of the greatest class
+
+
 def test_empty(spark, documents):
     assert jaccard_components(documents([])).collect() == []
     assert [tuple(r) for r in jaccard_components(documents([(4, None)])).collect()] == [(4, 0, 4)]
