@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gaugewright.llm.shared import removed, written_at
 
 _FOREST_ROWS = 1 << 20
+#: Edges, after each partition's forest, that one task may hold: the nodes of so many fit one forest.
+ONE_TASK = 1 << 18
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,13 +62,18 @@ def _with_least(edges: DataFrame, count: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b; longs): root is the least node of its component.
 
-    Each partition first keeps a spanning forest of its edges. Then large-star and small-star steps
-    alternate until the edges no longer change, logarithmically many times.
+    Each partition first keeps a spanning forest of its edges. Up to ONE_TASK of those edges become one forest in
+    one task; of more, large-star and small-star steps alternate until the edges no longer change,
+    logarithmically many times.
     """
     spark = edges.sparkSession
     now, path = written_at(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"), "edges")
     count, mark = now.count(), None
-    while True:
+    if count <= ONE_TASK:
+        old = path
+        now, path = written_at(now.coalesce(1).mapInArrow(_forest, "a long, b long"), "edges")
+        removed(spark, old)
+    while count > ONE_TASK:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, 2 * count).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a != b").distinct()
         large, middle = written_at(large, "stars")

@@ -130,7 +130,9 @@ def test_bands():
             assert not most and not segments or segments + deleting >= most + 1 + spare and lower
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (1, 0)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert {got[i] for i in range(51)} == {0} and {got[200 + i] for i in range(30)} == {100}
@@ -139,6 +141,7 @@ def test_components(spark):
 
 def test_hot_nodes(spark, monkeypatch):
     monkeypatch.setattr(graph, "HOT_EDGES", 5)
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
     edges = spark.createDataFrame([(500, i) for i in range(100)] + [(i, 1000 + i) for i in range(40)] + [(3000, 3001)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert {got[i] for i in [*range(100), 500, *range(1000, 1040)]} == {0} and got[3001] == 3000
