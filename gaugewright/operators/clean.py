@@ -55,20 +55,20 @@ def keep_first(df: DataFrame, order: str, columns: list[str] | None = None) -> D
 
 
 def sanitize(df: DataFrame, target: str, *, drop_ids: bool = True, drop_duplicates: bool = True, clean_placeholders: bool = True, clean_targets: bool = True) -> DataFrame:
-    """Without corrupted or missing targets, identifier columns (found on what is left), placeholders and equal rows, numbers as numbers."""
+    """Without corrupted or missing targets, identifier columns (found on what is left), placeholders and equal rows, numbers as numbers; the target stays of its type."""
     if clean_targets:
         df = without_corrupted(df, target)
     if drop_ids:
         df = df.drop(*[r["column"] for r in identifiers(df).collect() if r["column"] != target])  # a row for each column at most
     if clean_placeholders:
-        df = coerce_numbers(blank_placeholders(df))
+        df = coerce_numbers(blank_placeholders(df), [target])
     return df.dropDuplicates() if drop_duplicates else df
 
 
 def remediate_financial(df: DataFrame, target: str = "Payment_Behaviour") -> tuple[DataFrame, DataFrame]:
     """The cleaned credit table, and a row of before and after counts."""
     kept = without_corrupted(df, target, keep_missing=True)
-    done = coerce_numbers(blank_placeholders(kept.drop(*FINANCIAL_IDS)))
+    done = coerce_numbers(blank_placeholders(kept.drop(*FINANCIAL_IDS)), [target])
     counts = df.agg(F.count(F.lit(1)).alias("before_rows"), F.count_if(F.coalesce(F.col(target).cast("string"), F.lit("nan")) == CORRUPTED).alias("dropped_rows"))
     return done, counts.withColumns({"after_rows": F.col("before_rows") - F.col("dropped_rows"), "before_columns": F.lit(len(df.columns)), "after_columns": F.lit(len(done.columns))})
 

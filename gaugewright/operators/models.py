@@ -1,4 +1,4 @@
-"""Models by name, and cross-validation that leaves out folds already done.
+"""Models by name, out-of-fold predictions, and cross-validation that leaves out folds already done.
 
 A model is a function of nothing to a Spark ML estimator with columns features and label. Kernel support
 vector machines have no Spark counterpart: ``svm`` is a linear one, one against the rest.
@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from threading import Lock
+from typing import Any
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from gaugewright.operators.scoring import auc_one_vs_rest, fold_metrics
 
 Maker = Callable[[], Estimator]
+_FOLD = ["model", "repetition_id", "fold_id"]
 
 
 class ModelRegistry:
@@ -25,75 +30,186 @@ class ModelRegistry:
 
     def __init__(self) -> None:
         self._makers: dict[str, Maker] = {}
+        self._l2: dict[str, float] = {}
         self._aliases = {"lr": "logisticregression", "dt": "decisiontree", "rf": "randomforest", "svm": "linearsvm", "gb": "gradientboosting"}
 
-    def register(self, name: str, maker: Maker) -> None:
+    def register(self, name: str, maker: Maker, *, l2: float = 0.0) -> None:
+        """l2: weight of the squared coefficients against the summed loss of all rows, whatever their number; Spark's is against their mean."""
         if not callable(maker):
             raise TypeError("a model is registered as a function that makes an estimator")
-        self._makers[name.lower()] = maker
+        self._makers[name.lower()], self._l2[name.lower()] = maker, l2
 
-    def create(self, name: str) -> Estimator:
+    def _key(self, name: str) -> str:
         key = self._aliases.get(name.lower(), name.lower())
         if key not in self._makers:
             raise KeyError(f"unknown model {name!r}; known: {self.names()}")
-        return self._makers[key]()
+        return key
+
+    def create(self, name: str, rows: int = 0) -> Estimator:
+        """A new estimator; rows: those it will be fitted to, which a model with an l2 term needs."""
+        made = self._makers[key := self._key(name)]()
+        if self._l2.get(key) and rows:
+            (made.getClassifier() if isinstance(made, OneVsRest) else made).setRegParam(self._l2[key] / rows)
+        return made
 
     def names(self) -> list[str]:
         return sorted(self._makers)
 
+    def exists(self, name: str) -> bool:
+        return self._aliases.get(name.lower(), name.lower()) in self._makers
+
+    def info(self, name: str) -> dict[str, Any]:
+        """Estimator, parameters that differ from its defaults, l2 term and aliases of a model."""
+        key = self._key(name)
+        made = self.create(key)
+        inner = made.getClassifier() if isinstance(made, OneVsRest) else made
+        return {"name": key, "estimator": type(inner).__name__, "one_against_rest": inner is not made, "parameters": {p.name: v for p, v in inner._paramMap.items()}, "l2": self._l2.get(key, 0.0), "aliases": sorted(a for a, k in self._aliases.items() if k == key)}
+
+    def by_estimator(self) -> dict[str, list[str]]:
+        """Names by the estimator they make."""
+        found: dict[str, list[str]] = {}
+        for name in self.names():
+            found.setdefault(self.info(name)["estimator"], []).append(name)
+        return found
+
 
 def default_models(seed: int = 42) -> ModelRegistry:
     found = ModelRegistry()
-    found.register("LogisticRegression", lambda: LogisticRegression(maxIter=1000, standardization=False))
+    found.register("LogisticRegression", lambda: LogisticRegression(maxIter=1000, standardization=False), l2=1.0)
     found.register("DecisionTree", lambda: DecisionTreeClassifier(maxDepth=30, seed=seed))
     found.register("RandomForest", lambda: RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed))
-    found.register("LinearSVM", lambda: OneVsRest(classifier=LinearSVC(), parallelism=2))
+    found.register("LinearSVM", lambda: OneVsRest(classifier=LinearSVC(), parallelism=2), l2=1.0)
     found.register("GradientBoosting", lambda: OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=3, seed=seed), parallelism=2))
     return found
 
 
+def _vectors(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"features": array_to_vector(F.col("features").cast("array<double>")), **({"label": F.col("label").cast("double")} if "label" in rows.columns else {})})
+
+
+def _scored(fitted: Model, rows: DataFrame, key: str) -> DataFrame:
+    """(row_id, y_true, y_pred, proba) of rows; proba is null for a model without probabilities, y_true for rows without a label."""
+    found = fitted.transform(rows)
+    text = lambda c: F.col(c).cast("int").cast("string")
+    proba = vector_to_array("probability") if "probability" in found.columns else F.lit(None).cast("array<double>")
+    return found.select(F.col(key).alias("row_id"), (text("label") if "label" in rows.columns else F.lit(None).cast("string")).alias("y_true"), text("prediction").alias("y_pred"), proba.alias("proba"))
+
+
+class Classifier:
+    """A model by name that fits rows (features as an array, label) and predicts others; asking before it is fitted is an error."""
+
+    def __init__(self, name: str, registry: ModelRegistry | None = None):
+        self.name, self.registry, self.fitted = name, registry or default_models(), None
+
+    def fit(self, rows: DataFrame) -> Classifier:
+        self.fitted = self.registry.create(self.name, rows.count()).fit(_vectors(rows))
+        return self
+
+    def predictions(self, rows: DataFrame, key: str) -> DataFrame:
+        """(row_id, y_true, y_pred, proba) for each row."""
+        if self.fitted is None:
+            raise RuntimeError("fit before predictions")
+        return _scored(self.fitted, _vectors(rows), key)
+
+    def score(self, rows: DataFrame, key: str) -> dict[str, Any]:
+        """The metrics of the predictions of labelled rows."""
+        found = self.predictions(rows, key).select(F.lit(self.name).alias("model"), F.lit(0).alias("repetition_id"), F.lit(0).alias("fold_id"), "*")
+        return {k: v for k, v in measured(found).first().asDict().items() if k not in _FOLD}
+
+
 def worklist(models: DataFrame, folds: DataFrame, done: DataFrame) -> DataFrame:
     """(model, repetition_id, fold_id) that have no result yet."""
     work = folds.select("repetition_id", "fold_id").distinct().crossJoin(F.broadcast(models.select("model")))
     return work.join(done.select("model", "repetition_id", "fold_id").distinct(), ["model", "repetition_id", "fold_id"], "left_anti")
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *, registry: ModelRegistry | None = None, done: DataFrame | None = None, on_fold: Callable[[dict], None] | None = None) -> DataFrame:
-    """Metrics of each model and fold over rows (key, features as an array, label); a model that fails has a row with its error.
+def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *, registry: ModelRegistry | None = None, done: DataFrame | None = None, on_fold: Callable[[dict, DataFrame | None], None] | None = None, sink: str | None = None, parallelism: int = 8) -> tuple[DataFrame, list[dict]]:
+    """Predictions (model, repetition_id, fold_id, row_id, y_true, y_pred, proba) of each row by the models of the folds it is tested in, and a row of times for each fit.
 
-    The driver goes through models and folds; each fit and each scoring is a job of the cluster. ``done``
-    (model, repetition_id, fold_id) names what to leave out.
+    Fits run side by side, ``parallelism`` at a time; each is a job of the cluster. With ``sink``, predictions are
+    written there in folders by model, repetition and fold, which replace what stood there, else they are kept in memory. ``on_fold`` gets a
+    fit's row and its predictions, one at a time. A model that fails has a row with its error, and no predictions.
     """
     registry = registry or default_models()
     spark = rows.sparkSession
-    data = rows.withColumn("features", array_to_vector(F.col("features").cast("array<double>"))).withColumn("label", F.col("label").cast("double"))
-    joined = data.join(folds.select(key, "repetition_id", "fold_id"), key).cache()
+    joined = _vectors(rows).join(folds.select(key, "repetition_id", "fold_id"), key).persist()
     models = spark.createDataFrame([(n,) for n in names], "model string")
-    # one row for each fit
+    # a row for each fit, and for each fold
     work = sorted(worklist(models, folds, done if done is not None else models.withColumn("repetition_id", F.lit(-1)).withColumn("fold_id", F.lit(-1))).collect())
-    results = []
-    for model, repetition, fold in work:
+    sizes = {(r[0], r[1]): r[2] for r in joined.groupBy("repetition_id", "fold_id").count().collect()}
+    lock = Lock()
+
+    def one(item: tuple[str, int, int]) -> tuple[dict, DataFrame | None]:
+        model, repetition, fold = item
+        row, found = {"model": model, "repetition_id": int(repetition), "fold_id": int(fold), "error": None}, None
         part = joined.where(F.col("repetition_id") == repetition)
-        row = {"model": model, "repetition_id": int(repetition), "fold_id": int(fold), "error": None}
         try:
             began = time.perf_counter()
-            fitted = registry.create(model).fit(part.where(F.col("fold_id") != fold))
+            n = sum(k for (r, f), k in sizes.items() if r == repetition and f != fold)
+            fitted = registry.create(model, n).fit(part.where(F.col("fold_id") != fold))
             row["train_time"] = time.perf_counter() - began
             began = time.perf_counter()
-            scored = fitted.transform(part.where(F.col("fold_id") == fold))
-            wide = scored.select(F.lit(model).alias("model"), F.col("label").cast("int").cast("string").alias("y_true"), F.col("prediction").cast("int").cast("string").alias("y_pred"), *([vector_to_array("probability").alias("proba")] if "probability" in scored.columns else []))
-            row |= fold_metrics(wide, ["model"]).drop("model").first().asDict()
-            if "proba" in wide.columns:
-                long = wide.select("model", "y_true", F.posexplode("proba").alias("label", "score")).withColumn("label", F.col("label").cast("string"))
-                seen = long.join(F.broadcast(wide.select(F.col("y_true").alias("label")).distinct()), "label", "left_semi")
-                row["roc_auc"] = auc_one_vs_rest(seen, ["model"]).first()["roc_auc"]
+            scored = _scored(fitted, part.where(F.col("fold_id") == fold), key)
+            if sink:
+                path = f"{sink}/model={model}/repetition_id={repetition}/fold_id={fold}"
+                scored.write.mode("overwrite").parquet(path)
+                scored = spark.read.schema(scored.schema).parquet(path)
+            else:
+                scored = scored.persist()
+                scored.count()
+            found = scored.select(F.lit(model).alias("model"), F.lit(repetition).cast("int").alias("repetition_id"), F.lit(fold).cast("int").alias("fold_id"), "*")
             row["eval_time"] = time.perf_counter() - began
         except Exception as e:  # a model that fails doesn't end the run
             row["error"] = f"{type(e).__name__}: {str(e)[:200]}"
-        results.append(row)
         if on_fold:
-            on_fold(row)
+            with lock:
+                on_fold(row, found)
+        return row, found
+
+    with ThreadPool(max(1, min(parallelism, len(work)))) as pool:
+        made = pool.map(one, [tuple(w) for w in work], chunksize=1)
     joined.unpersist()
+    kind = f"model string, repetition_id int, fold_id int, row_id {rows.schema[key].dataType.simpleString()}, y_true string, y_pred string, proba array<double>"
+    return reduce(DataFrame.unionByName, [p for _, p in made if p is not None], spark.createDataFrame([], kind)), [r for r, _ in made]
+
+
+def measured(predictions: DataFrame) -> DataFrame:
+    """Metrics of out-of-fold predictions for each model, repetition and fold; roc_auc over the labels that a fold has, null without probabilities."""
+    long = predictions.where("proba is not null").select(*_FOLD, "y_true", F.posexplode("proba").alias("label", "score")).withColumn("label", F.col("label").cast("string"))
+    seen = long.join(predictions.select(*_FOLD, F.col("y_true").alias("label")).distinct(), [*_FOLD, "label"], "left_semi")
+    return fold_metrics(predictions, _FOLD).join(auc_one_vs_rest(seen, _FOLD), _FOLD, "left")
+
+
+def prediction_summary(predictions: DataFrame) -> DataFrame:
+    """Rows and hits of out-of-fold predictions by model, label and prediction, over all folds."""
+    return predictions.groupBy("model", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_rows"))
+
+
+def run_fold(rows: DataFrame, folds: DataFrame, key: str, name: str, repetition: int, fold: int, *, registry: ModelRegistry | None = None) -> tuple[DataFrame, dict]:
+    """Predictions and times of one model in one fold."""
+    others = folds.select("repetition_id", "fold_id").distinct().where(~((F.col("repetition_id") == repetition) & (F.col("fold_id") == fold)))
+    found, times = out_of_fold(rows, folds, key, [name], registry=registry, done=others.withColumn("model", F.lit(name)))
+    return found, times[0]
+
+
+def cross_validate(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *, registry: ModelRegistry | None = None, done: DataFrame | None = None, on_fold: Callable[[dict], None] | None = None, sink: str | None = None, parallelism: int = 8) -> DataFrame:
+    """Metrics of each model and fold over rows (key, features as an array, label); a model that fails has a row with its error.
+
+    ``done`` (model, repetition_id, fold_id) names what to leave out. ``on_fold`` gets each row as it is done; without
+    it, metrics of all folds come from one pass over their predictions. ``sink`` keeps the predictions, as
+    out_of_fold does.
+    """
+    rows_of: list[dict] = []
+
+    def told(row: dict, found: DataFrame | None) -> None:
+        if found is not None:
+            row |= {k: v for k, v in measured(found).first().asDict().items() if k not in _FOLD}
+        on_fold(row)
+
+    predictions, rows_of = out_of_fold(rows, folds, key, names, registry=registry, done=done, on_fold=told if on_fold else None, sink=sink, parallelism=parallelism)
+    if not on_fold and any(r["error"] is None for r in rows_of):
+        by = {tuple(r[k] for k in _FOLD): r.asDict() for r in measured(predictions).collect()}  # a row for each fit
+        rows_of = [r | by.get(tuple(r[k] for k in _FOLD), {}) for r in rows_of]
     schema = "model string, repetition_id int, fold_id int, error string, accuracy double, precision double, recall double, f1 double, mcc double, roc_auc double, n_samples long, n_classes long, train_time double, eval_time double"
-    names_ = [c.split()[0] for c in schema.split(", ")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names_) for r in results], schema)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return rows.sparkSession.createDataFrame([tuple(r.get(n) for n in columns) for r in rows_of], schema)

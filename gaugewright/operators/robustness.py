@@ -56,9 +56,12 @@ def noise_perturbations(frame: DataFrame, noise: DataFrame, spread: Column, weig
 
 
 def noise_table(spark: SparkSession, samples: int, seed: int = 42) -> DataFrame:
-    """Seeded standard normal draws."""
-    z = np.random.default_rng(seed).standard_normal(samples)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(z)], "sample_id int, z double")
+    """Seeded standard normal draws. One set serves all models and components, so their changes differ by nothing but themselves."""
+    return spark.createDataFrame(list(enumerate(noise_draws(samples, seed))), "sample_id int, z double")
+
+
+def noise_draws(samples: int, seed: int = 42) -> list[float]:
+    return np.random.default_rng(seed).standard_normal(samples).tolist()
 
 
 def sensitivity_ranking(sensitivity: DataFrame) -> DataFrame:
@@ -106,9 +109,17 @@ def grid_agreement(grid: DataFrame) -> DataFrame:
 
 def dirichlet_weights(spark: SparkSession, samples: int = 5000, *, concentration: float = 20.0, seed: int = 42, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Seeded Dirichlet draws around the weights."""
+    return _weights_table(spark, [(i, *row) for i, row in enumerate(dirichlet_draws(samples, concentration, seed, weights))], "sample_id int")
+
+
+def dirichlet_draws(samples: int = 5000, concentration: float = 20.0, seed: int = 42, weights: dict[str, float] = WEIGHTS) -> list[list[float]]:
     alpha = np.maximum(np.array([weights[m] for m in COMPONENTS]) * concentration, 1e-6)
-    drawn = np.random.default_rng(seed).dirichlet(alpha, size=samples)
-    return _weights_table(spark, [(i, *map(float, row)) for i, row in enumerate(drawn)], "sample_id int")
+    return np.random.default_rng(seed).dirichlet(alpha, size=samples).tolist()
+
+
+def collapsed(frame: DataFrame) -> DataFrame:
+    """One row a dataset and model of a frame that has several: the means of its components, missing ones left out."""
+    return frame.groupBy("dataset", "model").agg(*[F.avg(m).alias(m) for m in COMPONENTS if m in frame.columns])
 
 
 def monte_carlo(frame: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -209,4 +220,4 @@ def cross_domain(monte_carlo_: DataFrame, audit: DataFrame, agreed: DataFrame, d
     return reduce(lambda a, b: a.join(b, "dataset", "left"), parts)
 
 
-__all__ = ["agreement", "correlations", "cross_domain", "dirichlet_weights", "dominance", "grid_agreement", "monte_carlo", "noise_perturbations", "noise_table", "normalization_audit", "proxy_audit", "redundancy", "sensitivity_ranking", "small_perturbations", "weight_grid", "weight_grid_vectors"]
+__all__ = ["agreement", "collapsed", "correlations", "cross_domain", "dirichlet_draws", "dirichlet_weights", "dominance", "grid_agreement", "monte_carlo", "noise_draws", "noise_perturbations", "noise_table", "normalization_audit", "proxy_audit", "redundancy", "sensitivity_ranking", "small_perturbations", "weight_grid", "weight_grid_vectors"]

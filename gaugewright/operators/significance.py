@@ -21,6 +21,31 @@ def aligned(scores: DataFrame, keys: list[str] = ["dataset"]) -> DataFrame:  # n
     return once.join(whole, [*keys, "obs"], "left_semi")
 
 
+def problems(scores: DataFrame, keys: list[str] = ["dataset"]) -> DataFrame:  # noqa: B006
+    """(keys, problem, n) of what keeps scores from being compared pair by pair; no rows if nothing does.
+
+    Problems: scores that are missing or not finite, rows without a model's name, repeated observations of a
+    model, observations that some model lacks, keys with fewer than two models or two observations.
+    """
+    bad = F.col("score").isNull() | F.isnan(F.col("score").cast("double")) | (F.abs("score") == float("inf"))
+    by_model = scores.groupBy(*keys, "obs", "model").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
+    by_obs = by_model.groupBy(*keys, "obs").agg(F.count("model").alias("has"), F.sum("bad").alias("bad"), F.count_if(F.col("model").isNull()).alias("unnamed"), F.count_if(F.col("rows") > 1).alias("repeated"))
+    models = by_model.groupBy(*keys).agg(F.countDistinct("model").alias("n_models"))
+    whole = by_obs.join(models, keys).groupBy(*keys).agg(
+        F.sum("bad").alias("bad"), F.sum("unnamed").alias("unnamed"), F.sum("repeated").alias("repeated"), F.count(F.lit(1)).alias("n_obs"), F.max("n_models").alias("n_models"), F.count_if(F.col("has") < F.col("n_models")).alias("lacking"),
+    )
+    named = {"score is not finite": F.col("bad"), "row without a model": F.col("unnamed"), "repeated observation of a model": F.col("repeated"), "observation that some model lacks": F.col("lacking"), "fewer than two models": (F.col("n_models") < 2).cast("int"), "fewer than two observations": (F.col("n_obs") < 2).cast("int")}
+    listed = F.array(*[F.struct(F.lit(k).alias("problem"), v.cast("long").alias("n")) for k, v in named.items()])
+    return whole.select(*keys, F.explode(listed).alias("p")).select(*keys, "p.problem", "p.n").where("n > 0")
+
+
+def checked(scores: DataFrame, keys: list[str] = ["dataset"]) -> DataFrame:  # noqa: B006
+    """The scores, or a ValueError that names what is wrong with them."""
+    if found := problems(scores, keys).orderBy(*keys, "problem").limit(20).collect():
+        raise ValueError("; ".join(f"{', '.join(str(r[k]) for k in keys)}: {r['problem']} ({r['n']})" for r in found))
+    return scores
+
+
 def model_ranking(scores: DataFrame, keys: list[str] = ["dataset"], *, higher_is_better: bool = True) -> DataFrame:  # noqa: B006
     """Mean score of each model and its average-tie rank."""
     means = scores.groupBy(*keys, "model").agg(F.avg("score").alias("mean_score")).withColumn("key_", F.round("mean_score", 12))

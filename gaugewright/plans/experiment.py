@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.operators import composite, features, folds, models, profile, robustness, significance, summary
+from gaugewright.operators import composite, features, folds, leakage, models, profile, robustness, significance, summary
 from gaugewright.sources import provenance, reports, tables
 
 _FOLD = ["dataset", "model", "repetition_id", "fold_id"]
@@ -22,6 +24,34 @@ def _labelled(rows: DataFrame, target: str) -> tuple[DataFrame, list[Any]]:
     return rows.join(F.broadcast(codes), target), classes
 
 
+@dataclass
+class Prepared:
+    """Training and test rows (key, label, features) of a table, and how they were made."""
+
+    train: DataFrame
+    test: DataFrame
+    preparation: features.Preparation
+    classes: list[Any]
+    feature_names: list[str]
+
+
+def prepare_dataset(rows: DataFrame, target: str, key: str, *, test_size: float = 0.3, stratify: bool = True, scaling: str | None = "standard", encoding: str = "onehot", seed: int = 42) -> Prepared:
+    """Split rows, fit the preparation on the training part alone, and transform both; rows without a target are left out."""
+    labelled, classes = _labelled(rows, target)
+    parts = folds.split(labelled, key, "label" if stratify else None, test_size, seed=seed)
+    train, test = (parts.where(F.col("part") == p).drop("part", target) for p in ("train", "test"))
+    made = features.Preparation(keep=[key, "label"], scaling=scaling, encoding=encoding).fit(train)
+    names = made.feature_names(train)
+    shaped = lambda df: made.transform(df).select(key, "label", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("features"))
+    return Prepared(shaped(train), shaped(test), made, classes, names)
+
+
+def score_test(prepared: Prepared, key: str, names: list[str], *, registry: models.ModelRegistry | None = None) -> DataFrame:
+    """Metrics on the test part of models that are fitted to the whole training part."""
+    scored = [models.Classifier(n, registry).fit(prepared.train).predictions(prepared.test, key).select(F.lit(n).alias("model"), F.lit(0).alias("repetition_id"), F.lit(0).alias("fold_id"), "*") for n in names]
+    return models.measured(reduce(DataFrame.unionByName, scored)).drop("repetition_id", "fold_id")
+
+
 def run_experiment(spark: SparkSession, config: dict[str, Any], out: str, *, registry: tables.DatasetRegistry | None = None, model_registry: models.ModelRegistry | None = None) -> dict[str, DataFrame]:
     """Load, split, prepare, cross-validate, summarise, score and compare; results are written to ``out`` and returned by name.
 
@@ -48,12 +78,11 @@ def run_experiment(spark: SparkSession, config: dict[str, Any], out: str, *, reg
         rows.withColumn("row_id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(at)
     rows, classes = _labelled(spark.read.parquet(at), target)
     stratify = "label" if entry.get("stratify", True) else None
-    train = folds.split(rows, "row_id", stratify, entry.get("test_size", 0.3), seed=seed).where("part = 'train'").drop("part")
-    folds.check_feasible(train, "label", splits)
     how = entry.get("preprocessing", {})
-    prepared = features.Preparation(keep=["row_id", "label"], scaling=how.get("scaling", "standard"), encoding=how.get("encoding", "onehot")).fit_transform(train.drop(target))
-    columns = [c for c in prepared.columns if c not in ("row_id", "label")]
-    data = prepared.select("row_id", "label", F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("features"))
+    prepared = prepare_dataset(spark.read.parquet(at), target, "row_id", test_size=entry.get("test_size", 0.3), stratify=stratify is not None, scaling=how.get("scaling", "standard"), encoding=how.get("encoding", "onehot"), seed=seed)
+    train = data = prepared.train
+    folds.check_feasible(train, "label", splits)
+    prepared.test.write.mode("overwrite").parquet(str(folder / "test.parquet"))
     assigned = folds.folds(train, "row_id", "label", n_splits=splits, n_repetitions=repetitions, seed=seed)
     assigned.write.mode("overwrite").parquet(str(folder / "folds.parquet"))
     assigned = spark.read.parquet(str(folder / "folds.parquet"))
@@ -68,7 +97,7 @@ def run_experiment(spark: SparkSession, config: dict[str, Any], out: str, *, reg
             f.write(json.dumps(row, default=float) + "\n")
         log.write("error" if row["error"] else "info", "fold done", **{k: row[k] for k in ("model", "repetition_id", "fold_id", "error")})
 
-    made = models.cross_validate(data, assigned, "row_id", list(config["models"]), registry=model_registry, done=done, on_fold=on_fold)
+    made = models.cross_validate(data, assigned, "row_id", list(config["models"]), registry=model_registry, done=done, on_fold=on_fold, sink=str(folder / "predictions"))
     names = made.columns
     results = made.unionByName(spark.createDataFrame([tuple(r.get(c) for c in names) for r in before], made.schema)).withColumn("dataset", F.lit(name)).withColumn("total_time", F.col("train_time") + F.col("eval_time"))
     results.write.mode("overwrite").parquet(str(folder / "fold_metrics.parquet"))
@@ -116,6 +145,46 @@ def robustness_study(normalized: DataFrame, out: str | None = None, *, perturbat
     }
     for name, df in found.items() if out else ():
         tables.write_csv(df, f"{out}/{name}")
+    if out:
+        Path(out, "robustness_report.md").write_text(robustness_report(found))
+        Path(out, "metric_influence.svg").write_text(reports.svg_bars(found["metric_influence"].groupBy("metric").agg(F.avg("mean_leave_one_out_impact").alias("impact")), "metric", "impact", "Mean impact of leaving a component out"))
+    return found
+
+
+def robustness_report(found: dict[str, DataFrame]) -> str:
+    """The analyses of a robustness study as Markdown: how often each model comes first, which components move the score, which repeat each other."""
+    order = {"ranking_stability": ["dataset", "mean_rank", "model"], "sensitivity_ranking": ["dataset", "scenario", "metric"], "metric_influence": ["dataset", "metric"], "redundancy_pairs": ["dataset"]}
+    return reports.report("Robustness of the composite score", {name: (found[name], order[name]) for name in order if name in found})
+
+
+def identifier_report(df: DataFrame) -> str:
+    """Columns that identify rows, with reasons, as Markdown."""
+    return reports.report("Identifiers", {"Columns": (profile.identifiers(df), ["column"])})
+
+
+def leakage_report(df: DataFrame, target: str, row_id: str) -> str:
+    """Columns that give the target away, and groups that folds would cut through, as Markdown."""
+    return reports.report("Leakage", {"Correlation": (profile.leakage_pearson(df, target, row_id), ["column"]), "Separation": (profile.leakage_separation(df, target), ["column"]), "Groups": (leakage.candidates(df, target), ["column"])})
+
+
+def remediation_report(stats: DataFrame) -> str:
+    """Before and after a remediation, as Markdown."""
+    return reports.report("Remediation", {"Counts": (stats, [stats.columns[0]])})
+
+
+def audit_all(spark: SparkSession, registry: tables.DatasetRegistry, out: str | None = None) -> dict[str, str]:
+    """The audit of every registered dataset as Markdown by name, and below ``out`` if it is given; one that can't be read has its error."""
+    found = {}
+    for name in registry.names():
+        entry = registry.get(name)
+        try:
+            rows = registry.load(spark, name).withColumn("row_", F.monotonically_increasing_id())
+            found[name] = audit_report(rows, entry.target, "row_")
+        except (FileNotFoundError, ValueError) as e:
+            found[name] = f"# Audit\n\n{type(e).__name__}: {e}\n"
+        if out:
+            Path(out).mkdir(parents=True, exist_ok=True)
+            Path(out, f"{name}_audit.md").write_text(found[name])
     return found
 
 

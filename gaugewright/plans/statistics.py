@@ -67,8 +67,20 @@ add("contribution_frame", f"dataset model cbs:d baseline_rank:d {_SHARES}", lamb
 _SMALL = "SELECT dataset, model, metric, direction, value AS baseline_metric, perturbation, cbs AS baseline_cbs, cbs + delta AS perturbed_cbs, delta AS delta_cbs, abs(delta) AS absolute_delta_cbs FROM (SELECT *, weight * (least(greatest(value + perturbation, 0), 1) - value) AS delta FROM cl, (VALUES ('up', 0.01), ('down', -0.01)) AS w(direction, perturbation))"
 add("sensitivity_small", "dataset model metric direction baseline_metric:d perturbation:d baseline_cbs:d perturbed_cbs:d delta_cbs:d absolute_delta_cbs:d", lambda t: robustness.small_perturbations(t.frame), "cl", _SMALL)
 add("sensitivity_ranking", "dataset scenario metric mean_absolute_delta_cbs:d rank:l", lambda t: robustness.sensitivity_ranking(robustness.small_perturbations(t.frame).withColumn("scenario", F.lit("small_perturbation"))), "cl", f"SELECT *, dense_rank() OVER (PARTITION BY dataset ORDER BY round(mean_absolute_delta_cbs, 12) DESC) AS rank FROM (SELECT dataset, 'small_perturbation' AS scenario, metric, avg(absolute_delta_cbs) AS mean_absolute_delta_cbs FROM ({_SMALL}) GROUP BY ALL)")
-add("sensitivity_noise", "dataset model metric baseline_metric:d perturbation:d baseline_cbs:d perturbed_cbs:d delta_cbs:d absolute_delta_cbs:d cbs_std:d cbs_lower:d cbs_upper:d", lambda t: robustness.noise_perturbations(t.frame, robustness.noise_table(t.spark, 128), F.lit(0.02)))
-add("sensitivity_fold_variability", "dataset model metric baseline_metric:d perturbation:d baseline_cbs:d perturbed_cbs:d delta_cbs:d absolute_delta_cbs:d cbs_std:d cbs_lower:d cbs_upper:d", lambda t: robustness.noise_perturbations(t.frame.join(t.parts.select("dataset", "model", "cv"), ["dataset", "model"]), robustness.noise_table(t.spark, 256), F.col("cv")))
+
+
+def _noisy(draws: list[float], spread: str, join: str) -> str:
+    """Scores under the same draws, in SQL."""
+    values = ", ".join(f"({z!r}::DOUBLE)" for z in draws)
+    return f"""
+SELECT dataset, model, metric, max(value) AS baseline_metric, max(spread) AS perturbation, max(cbs) AS baseline_cbs, avg(score) AS perturbed_cbs, avg(score) - max(cbs) AS delta_cbs,
+  avg(abs(score - cbs)) AS absolute_delta_cbs, stddev_samp(score) AS cbs_std, quantile_cont(score, 0.025) AS cbs_lower, quantile_cont(score, 0.975) AS cbs_upper
+FROM (SELECT *, cbs + weight * (least(greatest(value + spread * z, 0), 1) - value) AS score FROM (SELECT *, CAST({spread} AS DOUBLE) AS spread FROM cl {join}) CROSS JOIN (VALUES {values}) AS d(z))
+GROUP BY dataset, model, metric"""
+
+
+add("sensitivity_noise", "dataset model metric baseline_metric:d perturbation:d baseline_cbs:d perturbed_cbs:d delta_cbs:d absolute_delta_cbs:d cbs_std:d cbs_lower:d cbs_upper:d", lambda t: robustness.noise_perturbations(t.frame, robustness.noise_table(t.spark, 128), F.lit(0.02)), "cl", _noisy(robustness.noise_draws(128), "0.02", ""))
+add("sensitivity_fold_variability", "dataset model metric baseline_metric:d perturbation:d baseline_cbs:d perturbed_cbs:d delta_cbs:d absolute_delta_cbs:d cbs_std:d cbs_lower:d cbs_upper:d", lambda t: robustness.noise_perturbations(t.frame.join(t.parts.select("dataset", "model", "cv"), ["dataset", "model"]), robustness.noise_table(t.spark, 256), F.col("cv")), "cl parts", _noisy(robustness.noise_draws(256), "cv", "JOIN (SELECT dataset, model, cv FROM parts) USING (dataset, model)"))
 
 _VALUES = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" for x in row) + ")" for row in robustness.weight_grid_vectors())
 _GRID = (
@@ -85,7 +97,7 @@ k AS (SELECT dataset, metric, perturbation_level, direction, CASE WHEN sum(abs(x
 SELECT * FROM s JOIN k USING (dataset, metric, perturbation_level, direction)"""
 for _name, _column in (("rank_reversals", "reversals:l"), ("rank_correlation_spearman", "spearman:d"), ("rank_correlation_kendall", "kendall:d")):
     add(_name, f"{_SCENARIO} {_column}", lambda t: robustness.grid_agreement(robustness.weight_grid(t.frame)), "frame", _AGREE)
-add("dirichlet_weights", "sample_id:l " + " ".join(f"w_{m}:d" for m in COMPONENTS), lambda t: robustness.dirichlet_weights(t.spark))
+add("dirichlet_weights", "sample_id:l " + " ".join(f"w_{m}:d" for m in COMPONENTS), lambda t: robustness.dirichlet_weights(t.spark), "", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{x!r}::DOUBLE' for x in row)})" for i, row in enumerate(robustness.dirichlet_draws())) + f") AS t(sample_id, {', '.join(f'w_{m}' for m in COMPONENTS)})")
 add("monte_carlo_summary", "dataset model baseline_cbs:d baseline_rank:d cbs_mean:d cbs_std:d mean_rank:d rank_std:d top1_probability:d rank_1_frequency:d rank_reversal_frequency:d mean_spearman:d mean_kendall:d mean_reversals:d", lambda t: robustness.monte_carlo(t.frame, robustness.dirichlet_weights(t.spark, 2000)))
 
 _DOMINANCE = """
@@ -129,3 +141,10 @@ add(
 
 add("cbs_saved_vs_recomputed", "dataset model cbs:d saved_cbs:d difference:d", lambda t: composite.against_saved(t.frame, t.frame.where("model <> '5-LOW'").select("dataset", "model", F.round(F.col("cbs") + 3.1e-10, 3).alias("cbs"))), "frame", "SELECT dataset, f.model, cbs, CASE WHEN f.model <> '5-LOW' THEN round(cbs + 3.1e-10::DOUBLE, 3) END AS saved_cbs, CASE WHEN f.model <> '5-LOW' THEN cbs - round(cbs + 3.1e-10::DOUBLE, 3) END AS difference FROM frame f")
 add("cross_domain_rollup", "dataset top1_probability:d cbs_std:d compression_ratio:d rank_correlation:d weight_agreement:d mean_impact:d top_metric", lambda t: robustness.cross_domain(robustness.monte_carlo(t.frame, robustness.dirichlet_weights(t.spark, 2000)), robustness.normalization_audit(t.parts, t.frame), robustness.grid_agreement(robustness.weight_grid(t.frame)), robustness.dominance(t.frame)))
+
+add("collapsed_components", "dataset model f1:d roc_auc:d accuracy:d precision:d recall:d", lambda t: robustness.collapsed(t.folds), "fm", "SELECT dataset, model, avg(f1) AS f1, avg(roc_auc) AS roc_auc, avg(accuracy) AS accuracy, avg(precision) AS precision, avg(recall) AS recall FROM fm GROUP BY ALL")
+add(
+    "score_problems", "dataset problem n:l", lambda t: significance.problems(t.folds.where("f1 > 0.5 or fold_id <> 4").select("dataset", (F.col("repetition_id") * 5 + F.col("fold_id")).alias("obs"), "model", F.when(F.col("fold_id") != 3, F.col("f1")).alias("score"))), "fm",
+    "WITH s AS (SELECT dataset, repetition_id * 5 + fold_id AS obs, model, CASE WHEN fold_id <> 3 THEN f1 END AS score FROM fm WHERE f1 > 0.5 OR fold_id <> 4), k AS (SELECT dataset, count(DISTINCT model) AS k FROM s GROUP BY 1), o AS (SELECT dataset, obs, count(DISTINCT model) AS n FROM s GROUP BY 1, 2) "
+    "SELECT dataset, 'score is not finite' AS problem, count(*) AS n FROM s WHERE score IS NULL GROUP BY 1 UNION ALL SELECT dataset, 'observation that some model lacks', count(*) FROM o JOIN k USING (dataset) WHERE n < k GROUP BY 1",
+)

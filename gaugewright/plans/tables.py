@@ -162,3 +162,15 @@ def _cv(name: str):
 
 for _name, _model in (("logreg", "LogisticRegression"), ("tree", "DecisionTree"), ("forest", "RandomForest"), ("svm_ovr", "LinearSVM"), ("gbt_ovr", "GradientBoosting")):
     add(f"model_cv_{_name}", "model repetition_id:l fold_id:l accuracy:d precision:d recall:d f1:d mcc:d roc_auc:d n_samples:l n_classes:l", _cv(_model))
+
+
+def _out_of_fold(t: Inputs):
+    """How often each row of embeddings is predicted out of fold: once in each repetition, under its own label."""
+    rows = t.table("embeddings").select("vec_id", F.col("embedding").alias("features"), "label")
+    found, _ = models.out_of_fold(rows, folds.folds(rows, "vec_id", "label", n_splits=2, n_repetitions=2), "vec_id", ["DecisionTree"])
+    return found.groupBy("model", F.col("row_id").alias("vec_id"), "y_true").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("repetition_id").alias("n_repetitions"))
+
+
+add("out_of_fold_coverage", "model vec_id:l y_true n:l n_repetitions:l", _out_of_fold, "", "SELECT 'DecisionTree' AS model, vec_id, CAST(label AS VARCHAR) AS y_true, 2 AS n, 2 AS n_repetitions FROM embeddings")
+_LABELLED = "SELECT c_custkey AS row_key, CASE WHEN c_custkey % 9 = 0 THEN '---' ELSE CAST(c_nationkey AS STRING) || '_' END AS code, CAST(c_nationkey % 2 AS STRING) AS target FROM {customer}"
+add("sanitize_numeric_labels", "code:d target", lambda t: clean.sanitize(t.sql(_LABELLED), "target", drop_ids=False, drop_duplicates=False).select("code", "target"), "", "SELECT CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_nationkey END AS code, CAST(c_nationkey % 2 AS VARCHAR) AS target FROM customer")

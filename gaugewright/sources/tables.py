@@ -16,8 +16,19 @@ from pyspark.sql import functions as F
 TARGET_NAMES = ["target", "Outcome", "Class", "y", "label", "payment_behaviour", "Payment_Behaviour", "kredit", "G3"]
 
 
+def remediation_for(path: str, target: str) -> Callable[[DataFrame], DataFrame] | None:
+    """The cleaning that a file needs by its path or target: the credit table's, the heart table's, or none."""
+    from gaugewright.operators import clean
+
+    if "Financial" in path or target == "Payment_Behaviour":
+        return lambda df: clean.remediate_financial(df, target)[0]
+    if "heart" in path.lower() and target == "target":
+        return lambda df: clean.remediate_heart(df, target)[0]
+    return None
+
+
 def read_csv(spark: SparkSession, path: str, target: str, *, remediation: Callable[[DataFrame], DataFrame] | None = None, schema: str | None = None, **options: Any) -> DataFrame:
-    """A CSV table with a header that has the target column; FileNotFoundError and ValueError say what is missing."""
+    """A CSV table with a header that has the target column, cleaned as it is said or as its path or target asks; FileNotFoundError and ValueError say what is missing."""
     reader = spark.read.option("header", True).options(**options)
     try:
         df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
@@ -25,7 +36,7 @@ def read_csv(spark: SparkSession, path: str, target: str, *, remediation: Callab
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
         raise
-    if remediation:
+    if remediation := remediation or (remediation_for(path, target) if target in df.columns else None):
         df = remediation(df)
     if target not in df.columns:
         raise ValueError(f"target {target!r} is not among the columns {df.columns}")
@@ -95,6 +106,11 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").partitionBy("model").parquet(path)
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions in folders by model, or by model, repetition and fold."""
+    return spark.read.parquet(path)
+
+
 @dataclass
 class Dataset:
     """An entry of the catalogue."""

@@ -2,12 +2,13 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugewright.operators import clean, features, folds, leakage, models, profile
-from gaugewright.plans import catalogues
+from gaugewright.operators import clean, features, folds, leakage, models, profile, significance
+from gaugewright.plans import catalogues, experiment
 from gaugewright.sources import provenance, reports, tables
 from gaugewright.streaming import folds as stream
 
@@ -17,41 +18,55 @@ def names(df, column="column"):
 
 
 def test_identifiers(spark):
-    df = spark.createDataFrame([(1, "a", 10, "x", "x"), (2, "b", 20, "y", "x"), (3, "c", 30, "z", "z"), (4, "d", 10, "w", "z")], "id_col long, SSN_col string, normal_col long, unique_str string, duplicate_str string")
-    assert names(profile.identifiers(df)) == ["SSN_col", "id_col", "unique_str"]
+    """Column names with an identifier's word, and text or whole numbers that never repeat; not fractions, however different."""
+    towns = ["Ulm", "Graz", "Bern", "Ulm", "Linz", "Graz"]
+    df = spark.createDataFrame([(i // 2, f"k{i}", 7 * i + 3, i / 7, towns[i], i % 2 == 0) for i in range(6)], "member_no long, plate string, serial long, weight double, town string, is_open boolean")
+    reasons = {r["column"]: r["reason"] for r in profile.identifiers(df).collect()}
+    assert set(reasons) == {"member_no", "plate", "serial"} and "Name" in reasons["member_no"] and reasons["plate"].startswith("Fully")
     assert profile.identifiers(df.limit(0)).count() == 0
 
 
 def test_audit(spark):
-    n = 200
-    rows = [([1, 2, 1, 2, 3][i % 5], ["ok", "ok", "fail", "fail", "!@9#%8"][i % 5], 5, 1 if i < 199 else 2, i, i, ["_______", "10", "---", "15", "NAN"][i % 5]) for i in range(n)]
-    df = spark.createDataFrame(rows, "customer_id long, target string, constant_feat long, near_constant long, normal long, leaked long, dirty_val string")
+    shops, grades = ["north", "south", "west"], ["A", "B", "C?", "D"]
+    rows = [(shops[i % 3], grades[i % 4], "same", int(i == 70), float(i), 3.0 * i - 2, "N/A" if i % 9 == 0 else str(i)) for i in range(150)]
+    df = spark.createDataFrame(rows, "customer_group string, grade string, unit string, rare long, size double, twice double, note string")
     kinds = {r["column"]: r["kind"] for r in profile.constant_features(df).collect()}
-    assert kinds == {"constant_feat": "constant", "near_constant": "near_constant"}
-    assert "customer_id" in names(profile.grouped_entities(df))
-    assert names(profile.corrupted_labels(df, "target"), "label") == ["!@9#%8"]
-    assert "_______" in names(profile.placeholders(df, "normal").where("column = 'dirty_val'"), "token")
-    assert [r["column"] for r in profile.leakage_pearson(df, "normal", "normal").where("leaks").collect()] == ["leaked"]
+    assert kinds == {"unit": "constant", "rare": "near_constant"}
+    assert names(profile.grouped_entities(df, ["customer"])) == ["customer_group"]
+    assert names(profile.corrupted_labels(df, "grade"), "label") == ["C?"]
+    note = profile.placeholders(df, "size").where("column = 'note'").collect()
+    assert {(r["token"], r["n"]) for r in note if r["token"] == "N/A"} == {("N/A", 17)}
+    assert [r["column"] for r in profile.leakage_pearson(df, "size", "size").where("leaks").collect()] == ["twice"]
     assert profile.duplicates(df, []).first()["duplicates"] == 0
 
 
 def test_sanitize(spark):
-    df = spark.createDataFrame([(1, "_______", "ok"), (2, "10_", "ok"), (3, "---", "!@9#%8"), (3, "---", "!@9#%8"), (4, "25", "fail"), (5, "10_", "different_target")], "id long, feature string, target string")
-    got = clean.sanitize(df, "target")
-    assert sorted(got.columns) == ["feature", "target"]
-    assert sorted((r["feature"] or 0, r["target"]) for r in got.collect()) == [(0, "ok"), (10.0, "different_target"), (10.0, "ok"), (25.0, "fail")]
-
-
-def test_financial(spark):
-    bad = "!@9#%8"
-    rows = [("1", "c1", "n", "s", "25_", "5000", "a", "good", "x"), ("2", "c2", "n", "s", "30", "nan", "a", "good", bad), ("3", "c3", "n", "s", "_______", "__10000__", "a", "bad", "y"), ("4", "c4", "n", "s", "40_", "7000", "a", "bad", bad), ("5", "c5", "n", "s", "50", "**8000**", "a", "bad", "z")]
-    df = spark.createDataFrame(rows, ["ID", "Customer_ID", "Name", "SSN", "Age", "Monthly_Inhand_Salary", "Occupation", "Credit_Mix", "Payment_Behaviour"])
+    """Corrupted and missing targets go, so do identifiers and repeated rows; placeholders become null and texts of numbers numbers, but never the target."""
+    bad = clean.CORRUPTED
+    rows = [("u1", "3.5__", "---", "0"), ("u2", "7", "red", "1"), ("u3", "_______", "red", "1"), ("u4", "8", "blue", bad), ("u5", "9", "blue", None), ("u6", "7", "red", "1")]
+    df = spark.createDataFrame(rows, "user_key string, amount string, colour string, outcome string")
+    got = clean.sanitize(df, "outcome")
+    assert got.columns == ["amount", "colour", "outcome"] and dict(got.dtypes) == {"amount": "double", "colour": "string", "outcome": "string"}
+    assert {tuple(r) for r in got.collect()} == {(3.5, None, "0"), (7.0, "red", "1"), (None, "red", "1")} and got.count() == 3
+
+
+def test_remediation(spark, tmp_path):
+    bad = clean.CORRUPTED
+    rows = [(str(i), f"name {i}", ["12_", "__3__", "15"][i % 3], [bad, "low", "high", "high"][i % 4]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["ID", "Name", "Delay", "Payment_Behaviour"])
     done, stats = clean.remediate_financial(df)
-    assert done.count() == 3 and "SSN" not in done.columns and dict(done.dtypes)["Age"] == "double"
-    assert (stats.first()["before_rows"], stats.first()["dropped_rows"], stats.first()["after_rows"]) == (5, 2, 3)
-    heart = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)] + [(1, 1), (1, 0), (2, 0)], "age long, target long")
-    done, stats = clean.remediate_heart(heart)
-    assert done.count() == 4 and stats.first()["duplicate_pct"] == pytest.approx(42.857, abs=1e-3)
+    assert done.columns == ["Delay", "Payment_Behaviour"] and dict(done.dtypes)["Delay"] == "double" and done.count() == 9
+    assert stats.select("before_rows", "dropped_rows", "after_rows").first()[:] == (12, 3, 9)
+    pulse = spark.createDataFrame([(60 + i % 4, i % 2) for i in range(20)], "pulse long, target long")
+    done, stats = clean.remediate_heart(pulse)
+    assert done.count() == 4 and stats.first()["duplicate_pct"] == pytest.approx(80.0)
+    # a file is cleaned by its path, or by its target, wherever it is read
+    (tmp_path / "my_heart.csv").write_text("pulse,target\n60,1\n60,1\n70,0\n")
+    (tmp_path / "credit.csv").write_text("ID,Delay,Payment_Behaviour\n1,5_,low\n2,6,!@9#%8\n")
+    (tmp_path / "plain.csv").write_text("pulse,target\n60,1\n60,1\n")
+    assert tables.read_csv(spark, str(tmp_path / "my_heart.csv"), "target").count() == 2
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "credit.csv"), "Payment_Behaviour").collect()] == [(5.0, "low")]
+    assert tables.read_csv(spark, str(tmp_path / "plain.csv"), "target").count() == 2
 
 
 def test_numbers_are_whole(spark):
@@ -98,6 +113,71 @@ def test_features(spark):
         features.Preparation().transform(test)
 
 
+def test_predictions_and_metrics(spark, tmp_path):
+    """Every row is predicted once in each repetition, predictions are kept, and metrics are those that SQL makes of them."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)], float(i % 3)) for i in range(90)], "row long, features array<double>, label double")
+    assigned = folds.folds(rows, "row", "label", n_splits=3, n_repetitions=2)
+    sink = str(tmp_path / "predictions")
+    got = models.cross_validate(rows, assigned, "row", ["dt", "svm"], sink=sink)
+    kept = tables.read_predictions(spark, sink)
+    assert kept.groupBy("model", "repetition_id").agg(F.countDistinct("row_id").alias("n"), F.count(F.lit(1)).alias("m")).where("n <> 90 or m <> 90").count() == 0 and kept.count() == 360
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW p AS SELECT * FROM read_parquet('{sink}/*/*/*/*.parquet', hive_partitioning = true)")
+    sql = """
+      WITH c AS (SELECT model, repetition_id, fold_id, y_true AS y, count(*) AS support, count(*) FILTER (WHERE y_true = y_pred) AS hits FROM p GROUP BY ALL),
+      q AS (SELECT model, repetition_id, fold_id, y_pred AS y, count(*) AS predicted FROM p GROUP BY ALL)
+      SELECT model, repetition_id, fold_id, sum(hits) / sum(support) AS accuracy, sum(support * coalesce(hits / predicted, 0)) / sum(support) AS precision, sum(support * 2.0 * hits / (support + coalesce(predicted, 0))) / sum(support) AS f1
+      FROM c LEFT JOIN q USING (model, repetition_id, fold_id, y) GROUP BY ALL"""
+    want = {r[:3]: r[3:] for r in base.execute(sql).fetchall()}
+    assert len(want) == 12
+    for r in got.collect():
+        assert (r["accuracy"], r["precision"], r["f1"]) == pytest.approx(want[r["model"], r["repetition_id"], r["fold_id"]])
+        assert (r["roc_auc"] is None) == (r["model"] == "svm")
+    found, times = models.run_fold(rows, assigned, "row", "dt", 1, 2)
+    assert found.count() == 30 and times["error"] is None and {r["fold_id"] for r in found.collect()} == {2}
+
+
+def test_models_by_name(spark):
+    known = models.default_models()
+    assert known.exists("RF") and not known.exists("nothing") and known.info("rf")["parameters"]["numTrees"] == 100 and known.info("gb")["one_against_rest"]
+    assert known.by_estimator()["LogisticRegression"] == ["logisticregression"]
+    assert known.create("lr", 50).getRegParam() == pytest.approx(1 / 50) and known.create("svm", 20).getClassifier().getRegParam() == pytest.approx(1 / 20)
+    rows = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(20)], "row long, features array<double>, label long")
+    with pytest.raises(RuntimeError, match="fit before"):
+        models.Classifier("dt").predictions(rows, "row")
+    fitted = models.Classifier("dt").fit(rows)
+    assert fitted.score(rows, "row")["accuracy"] == 1.0
+    assert {r["y_true"] for r in fitted.predictions(rows.drop("label"), "row").collect()} == {None}
+
+
+def test_prepared(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 5), "ab"[i % 2], ["no", "yes"][i % 2]) for i in range(100)], "row long, x double, kind string, target string")
+    made = experiment.prepare_dataset(rows, "target", "row", test_size=0.2)
+    assert (made.train.count(), made.test.count(), made.classes, made.feature_names) == (80, 20, ["no", "yes"], ["x", "kind=b"])
+    assert made.train.join(made.test, "row").count() == 0
+    assert experiment.score_test(made, "row", ["dt"]).first()["accuracy"] == 1.0
+    registry = tables.DatasetRegistry()
+    (tmp_path / "a.csv").write_text("x,target\n1,p\n2,q\n3,p\n")
+    registry.register("a", tables.Dataset(str(tmp_path / "a.csv"), "target"))
+    registry.register("gone", tables.Dataset(str(tmp_path / "gone.csv"), "target"))
+    found = experiment.audit_all(spark, registry, str(tmp_path / "audits"))
+    assert "## imbalance" in found["a"] and "FileNotFoundError" in found["gone"] and (tmp_path / "audits" / "a_audit.md").exists()
+    assert "town_id" in experiment.identifier_report(rows.withColumnRenamed("kind", "town_id")) and "Separation" in experiment.leakage_report(rows, "target", "row")
+    chart = reports.svg_bars(spark.createDataFrame([("a<b", 1.0), ("c", 500.0)], "name string, v double"), "name", "v", "Title")
+    assert chart.count("<rect") == 2 and "a&lt;b" in chart and "logarithmic" in chart
+
+
+def test_score_problems(spark):
+    rows = [("d", i, m, 0.5 + i) for i in range(4) for m in "xy"]
+    good = spark.createDataFrame(rows, "dataset string, obs long, model string, score double")
+    assert significance.checked(good) is good
+    bad = spark.createDataFrame([*rows[:-1], ("d", 9, "x", float("nan")), ("d", 0, "x", 1.0), ("d", 0, None, 1.0), ("e", 0, "x", None)], good.schema)
+    found = {(r["dataset"], r["problem"]): r["n"] for r in significance.problems(bad).collect()}
+    assert found == {("d", "score is not finite"): 1, ("d", "row without a model"): 1, ("d", "repeated observation of a model"): 1, ("d", "observation that some model lacks"): 2, ("e", "score is not finite"): 1, ("e", "fewer than two models"): 1, ("e", "fewer than two observations"): 1}
+    with pytest.raises(ValueError, match="e: fewer than two models"):
+        significance.checked(bad)
+
+
 def test_cross_validation(spark):
     rows = spark.createDataFrame([(i, [float(i % 10), float(i % 3)], float(i % 2)) for i in range(60)], "row long, features array<double>, label double")
     assigned = folds.folds(rows, "row", "label", n_splits=2, n_repetitions=1)
