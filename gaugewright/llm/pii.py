@@ -205,6 +205,9 @@ def disclosures(docs: DataFrame) -> DataFrame:
     both = named.select("docs", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(*counts).where(F.col("texts") >= LEAST_TEXTS)
     bits = F.log2(F.lit(float(n)) / F.col("n_entity"))
     both = both.join(held, "entity").where(F.col("texts") * bits >= log2(max(n, 1)) + CHANCE_BITS)
+    # a term stands in no fewer documents than in those that mention some entity, which bounds its disclosure before it is counted in all
+    least = texts.select("docs", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("docs").alias("n_least"))
+    both = both.join(least, "term").where(1 - F.log2(F.col("n_least") / F.col("n")) / bits >= GENERALISE)
     both = written(both.select("entity", "term", "n_entity", F.col("n").alias("n_both")), "shared")
     terms = both.select("term").distinct()
     if not (size := terms.count()):
