@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.columns import avg_rank
-from gaugewright.operators.summary import QUALITY, stability, to_long
+from gaugewright.operators.summary import QUALITY
 
 #: The components and their weights.
 WEIGHTS = {"f1": 0.30, "roc_auc": 0.20, "accuracy": 0.10, "precision": 0.10, "recall": 0.10, "time_score": 0.10, "stability_score": 0.10}
@@ -26,9 +26,9 @@ def normalized_weights(weights: dict[str, float]) -> dict[str, float]:
 
 def components(folds: DataFrame, keys: list[str], *, primary: str = "f1") -> DataFrame:
     """Means of the quality metrics (none: 0), total time and the primary metric's coefficient of variation and stability score."""
-    means = folds.groupBy(*keys).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in QUALITY], F.coalesce(F.avg("total_time"), F.lit(0.0)).alias("total_time"))
-    steady = stability(to_long(folds, keys, [primary]), keys).select(*keys, "cv", "stability_score")
-    return means.join(steady, keys, "left")
+    mean = F.avg(primary)
+    cv = F.when(F.count(primary) > 0, F.when(mean > 0, F.stddev_pop(primary) / mean).otherwise(0.0))  # as summary.stability has it
+    return folds.groupBy(*keys).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in [*QUALITY, "total_time"]], cv.alias("cv"), (1 / (1 + cv)).alias("stability_score"))
 
 
 def raw_scores(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.operators.order import quantiles
 from gaugewright.operators.profile import numeric_columns, text_columns
 
 Step = Callable[[DataFrame], DataFrame]
@@ -17,10 +18,13 @@ def impute_numeric(train: DataFrame, columns: list[str], strategy: str = "mean",
     """Missing numbers by the mean, the exact median or a constant."""
     if strategy == "constant":
         values = dict.fromkeys(columns, fill)
-    else:
-        of = {"mean": F.avg, "median": F.median}[strategy]
-        row = train.agg(*[of(c).alias(c) for c in columns]).first()
+    elif strategy == "median":
+        values = {c: q[0] for c, q in quantiles(train, columns, [0.5]).items() if q}
+    elif strategy == "mean":
+        row = train.agg(*[F.avg(c).alias(c) for c in columns]).first()
         values = {c: row[c] for c in columns if row[c] is not None}
+    else:
+        raise ValueError(f"strategy {strategy!r}")
     return lambda df: df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in values.items()})
 
 
@@ -38,10 +42,11 @@ def impute_text(train: DataFrame, columns: list[str], strategy: str = "most_freq
 
 def scaling(train: DataFrame, columns: list[str], kind: str = "standard") -> dict[str, tuple[float, float]]:
     """(centre, scale) of each column: mean and population std, least and range, or median and interquartile range; a scale of 0 is 1."""
+    if kind == "robust":
+        return {c: (q[1], (q[2] - q[0]) or 1.0) if q else (0.0, 1.0) for c, q in quantiles(train, columns, [0.25, 0.5, 0.75]).items()}
     makes = {
         "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
         "minmax": lambda c: (F.min(c).cast("double"), (F.max(c) - F.min(c)).cast("double")),
-        "robust": lambda c: (F.median(c), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
     }
     make = makes[kind]
     row = train.agg(*[x.alias(f"{c}|{i}") for c in columns for i, x in enumerate(make(c))]).first()

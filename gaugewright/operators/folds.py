@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.operators.order import placed
+
 
 def seeded(seed: Column | int, key: str) -> Column:
     """The order of rows for a seed."""
@@ -24,12 +26,10 @@ def three_way(df: DataFrame, key: str, label: str | None, train: float, validati
 
     Without classes the rows are ordered in classes of their hash's first digits, so no task gets them all.
     """
-    by = [label] if label else [F.substring(seeded(seed, key), 1, 2)]
-    over = Window.partitionBy(*by)
-    n, place = F.count(F.lit(1)).over(over), F.row_number().over(over.orderBy(seeded(seed, key), key))
-    test, val = F.round(F.col("n_") * round(1 - train - validation, 9)), F.round(F.col("n_") * validation)
-    part = F.when(F.col("place_") <= test, "test").when(F.col("place_") <= test + val, "validation").otherwise("train")
-    return df.withColumns({"n_": n, "place_": place}).withColumn("part", part).drop("n_", "place_")
+    rows = df if label else df.withColumn("class__", F.substring(seeded(seed, key), 1, 2))
+    test, val = F.round(F.col("n__") * round(1 - train - validation, 9)), F.round(F.col("n__") * validation)
+    part = F.when(F.col("place__") <= test, "test").when(F.col("place__") <= test + val, "validation").otherwise("train")
+    return placed(rows, [label or "class__"], seeded(seed, key), key).withColumn("part", part).drop("n__", "place__", "class__")
 
 
 def folds(df: DataFrame, key: str, label: str | None, *, n_splits: int = 5, n_repetitions: int = 3, seed: int = 42) -> DataFrame:
@@ -37,9 +37,10 @@ def folds(df: DataFrame, key: str, label: str | None, *, n_splits: int = 5, n_re
     columns = [key] + ([label] if label else [])
     rows = df.select(*columns).withColumn("repetition_id", F.explode(F.sequence(F.lit(0), F.lit(n_repetitions - 1))))
     order = seeded(F.col("repetition_id") + seed, key)
-    by = ["repetition_id", label] if label else ["repetition_id", F.substring(order, 1, 2)]
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order, key)) - 1
-    return rows.withColumn("fold_id", (place % n_splits).cast("int"))
+    if not label:
+        rows = rows.withColumn("class__", F.substring(order, 1, 2))
+    found = placed(rows, ["repetition_id", label or "class__"], order, key)
+    return found.withColumn("fold_id", ((F.col("place__") - 1) % n_splits).cast("int")).drop("n__", "place__", "class__")
 
 
 def fold_info(assigned: DataFrame, label: str) -> DataFrame:

@@ -21,6 +21,7 @@ def group_statistics(df: DataFrame, group: str) -> DataFrame:
     """Sizes of groups: number, mean, median, extremes, std, and how many groups and rows are of repeated ones."""
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     again = F.col("n") > 1
+    # the median's task holds the different sizes of groups: of m rows fewer than sqrt(2 m)
     found = sizes.agg(
         F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_rows"), F.avg("n").alias("mean_size"), F.median("n").alias("median_size"), F.max("n").alias("max_size"), F.min("n").alias("min_size"),
         F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("std_size"), F.count_if(again).alias("n_repeated"), F.coalesce(F.sum(F.when(again, F.col("n"))), F.lit(0)).alias("rows_repeated"),

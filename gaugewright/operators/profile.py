@@ -149,7 +149,7 @@ def leakage_pearson(df: DataFrame, target: str, row_id: str, least: float = 0.95
         first = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.min(row_id).alias("first_"))
         # a code for each class
         codes = first.withColumn("code_", (F.row_number().over(Window.orderBy("first_")) - 1).cast("double")).select(target, "code_")
-        coded = df.join(F.broadcast(codes), target, "left").na.fill(-1.0, ["code_"])
+        coded = df.join(codes, target, "left").na.fill(-1.0, ["code_"])
     else:
         coded = df.withColumn("code_", F.col(target).cast("double"))
     parts = [F.struct(F.lit(c).alias("column"), safe_corr(c, "code_").alias("correlation")) for c in numeric_columns(df) if c != target]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.columns import avg_rank
+from gaugewright.operators.order import running
 
 
 def confusion(predictions: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,11 +51,12 @@ def matthews(matrix: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Area under the ROC curve of (keys, positive 0/1, score), by average ranks; null with one class only."""
-    ranked = scored.withColumn("rank", avg_rank("score", keys, descending=False))
-    pos, neg = F.sum("positive").cast("double"), F.sum(1 - F.col("positive")).cast("double")
-    area = (F.sum(F.when(F.col("positive") == 1, F.col("rank")).otherwise(0.0)) - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0.0))
-    return ranked.groupBy(*keys).agg(area.alias("roc_auc"), pos.cast("long").alias("n_positive"))
+    """Area under the ROC curve of (keys, positive 0/1, score), from counts by score; null with one class only, rows without a score left out."""
+    counts = scored.where("score is not null").groupBy(*keys, "score").agg(F.sum("positive").cast("double").alias("pos__"), F.sum(1 - F.col("positive")).cast("double").alias("neg__"))
+    pos, neg = F.sum("pos__"), F.sum("neg__")
+    # pairs in which the positive row scores higher, and half of the ties
+    area = F.sum(F.col("pos__") * (F.col("below__") + F.col("neg__") / 2)) / F.nullif(pos * neg, F.lit(0.0))
+    return running(counts, keys, "score", "neg__").groupBy(*keys).agg(area.alias("roc_auc"), pos.cast("long").alias("n_positive"))
 
 
 def auc_one_vs_rest(scored: DataFrame, keys: list[str]) -> DataFrame:
