@@ -5,20 +5,15 @@ Keys may be null; equal values share a row of counts. Column names that end in t
 
 from __future__ import annotations
 
-from functools import reduce
 from math import floor
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of left with right's other columns, where keys are equal or both null; one row of right for each key."""
-    if not on:
-        return left.crossJoin(F.broadcast(right))  # right is one row
-    named = right.select(*[F.col(c).alias(f"{c}__") if c in on else F.col(c) for c in right.columns])
-    return left.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in on])).drop(*[f"{c}__" for c in on])
+def _key(*columns: str | Column) -> Column:
+    """One value for several, equal where each is equal or both are null; rows are grouped, joined and sorted by it with one shuffle."""
+    return F.struct(*columns) if columns else F.lit(0)
 
 
 def placed(df: DataFrame, by: list[str], order: Column, key: str) -> DataFrame:
@@ -27,25 +22,29 @@ def placed(df: DataFrame, by: list[str], order: Column, key: str) -> DataFrame:
     order is a hexadecimal hash. Rows are sorted within the 4096 ranges of its first three digits; a range begins
     where the counts of those before it end, so a class is as many tasks as it has ranges.
     """
-    rows = df.withColumns({"order__": order, "range__": F.substring(order, 1, 3)})
-    whole = Window.partitionBy(*by)  # of the ranges' counts, 4096 a class
-    counts = rows.groupBy(*by, "range__").agg(F.count(F.lit(1)).alias("here__")).withColumns({"before__": F.sum("here__").over(whole.orderBy("range__")) - F.col("here__"), "n__": F.sum("here__").over(whole)})
-    place = F.col("before__") + F.row_number().over(Window.partitionBy(*by, "range__").orderBy("order__", key))
-    return _matched(rows, counts, [*by, "range__"]).withColumn("place__", place).drop("order__", "range__", "here__", "before__")
+    ranged = df.withColumn("order__", order).withColumn("cell__", _key(*by, F.substring("order__", 1, 3).alias("range__")))
+    of = Window.partitionBy(*[f"cell__.{c}" for c in by])  # of the ranges' counts, 4096 a class
+    counts = ranged.groupBy("cell__").agg(F.count(F.lit(1)).alias("here__"))
+    starts = counts.select("cell__", (F.sum("here__").over(of.orderBy("cell__.range__")) - F.col("here__")).alias("before__"), F.sum("here__").over(of).alias("n__"))
+    numbered = ranged.withColumn("place__", F.row_number().over(Window.partitionBy("cell__").orderBy("order__", key)))
+    return numbered.join(starts, "cell__").withColumn("place__", F.col("place__") + F.col("before__")).drop("cell__", "order__", "before__")
 
 
-def running(counts: DataFrame, keys: list[str], value: str, amount: str, *, ranges: int = 256) -> DataFrame:
+def running(counts: DataFrame, keys: list[str], value: str, amount: str, *, ranges: int = 256, whole: int = 1_000_000) -> DataFrame:
     """counts (keys, value, amount: a row for each value) with below__, the sum of the amounts of smaller values, and all__, that of all.
 
-    Approximate quantiles cut the values into ranges of about as many each; sums within a range start from the
-    exact sums of those before it, so the cuts' error moves work between tasks and changes no result.
+    Keys with more than ``whole`` values are cut at approximate quantiles into ranges of about as many each. Sums
+    within a range start from the exact sums of those before it, so cuts move work between tasks and change no
+    result. What is broadcast is 2 KB for each key that is cut, so at most that for ``whole`` rows of counts.
     """
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts__"))
-    ranged = _matched(counts, cuts, keys).withColumn("range__", F.size(F.filter("cuts__", lambda c: c < F.col(value)))).drop("cuts__")
-    whole = Window.partitionBy(*keys)  # of the ranges' sums, at most ``ranges`` a key
-    starts = ranged.groupBy(*keys, "range__").agg(F.sum(amount).alias("here__")).withColumns({"before__": F.sum("here__").over(whole.orderBy("range__")) - F.col("here__"), "all__": F.sum("here__").over(whole)})
-    below = F.col("before__") + F.sum(amount).over(Window.partitionBy(*keys, "range__").orderBy(value)) - F.col(amount)
-    return _matched(ranged, starts, [*keys, "range__"]).withColumn("below__", below).drop("range__", "here__", "before__")
+    keyed = counts.withColumn("key__", _key(*keys))
+    cuts = keyed.groupBy("key__").agg(F.count(F.lit(1)).alias("n__"), F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts__")).where(F.col("n__") > whole).drop("n__")
+    smaller = F.when(F.col("cuts__").isNull(), 0).otherwise(F.size(F.filter("cuts__", lambda c: c < F.col(value))))
+    ranged = keyed.join(F.broadcast(cuts), "key__", "left").withColumn("cell__", F.struct("key__", smaller.alias("range__"))).drop("cuts__", "key__")
+    of = Window.partitionBy("cell__.key__")  # of the ranges' sums, at most ``ranges`` a key
+    starts = ranged.groupBy("cell__").agg(F.sum(amount).alias("here__")).select("cell__", (F.sum("here__").over(of.orderBy("cell__.range__")) - F.col("here__")).alias("before__"), F.sum("here__").over(of).alias("all__"))
+    summed = ranged.withColumn("below__", F.sum(amount).over(Window.partitionBy("cell__").orderBy(value)) - F.col(amount))
+    return summed.join(starts, "cell__").withColumn("below__", F.col("below__") + F.col("before__")).drop("cell__", "before__")
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float] | None]:

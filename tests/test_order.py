@@ -38,8 +38,8 @@ def test_split_keeps_columns_and_shares(rows):
 
 def test_running_sums_by_few_ranges(rows):
     counts = rows.where("score is not null").groupBy("class", "score").agg(F.count(F.lit(1)).alias("n"))
-    for ranges in (1, 3, 256):
-        for r in running(counts, ["class"], "score", "n", ranges=ranges).collect():
+    for ranges, whole in ((2, 1), (3, 1), (256, 1), (256, 150), (256, 10**6)):  # every key is cut, some are, none is
+        for r in running(counts, ["class"], "score", "n", ranges=ranges, whole=whole).collect():
             mine = [s for _, c, s in ROWS if c == r["class"] and s is not None]
             assert (r["below__"], r["all__"], r["n"]) == (sum(s < r["score"] for s in mine), len(mine), mine.count(r["score"]))
 
