@@ -24,6 +24,9 @@ from gaugewright.operators.scoring import auc_one_vs_rest, fold_metrics
 Maker = Callable[[], Estimator]
 _FOLD = ["model", "repetition_id", "fold_id"]
 
+#: Bytes of features that a task of a fit is worth: a boosted tree is several jobs, whose tasks on a few rows are all overhead.
+TASK_BYTES = 32 << 20
+
 
 class ModelRegistry:
     """Makers by name and alias; names are compared in lower case."""
@@ -137,6 +140,8 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
     # a row for each fit, and for each fold
     work = sorted(worklist(models, folds, done if done is not None else models.withColumn("repetition_id", F.lit(-1)).withColumn("fold_id", F.lit(-1))).collect())
     sizes = {(r[0], r[1]): r[2] for r in joined.groupBy("repetition_id", "fold_id").count().collect()}
+    width = 8 * (rows.agg(F.max(F.size("features"))).first()[0] or 1)
+    cached = joined.rdd.getNumPartitions()
     lock = Lock()
 
     def one(item: tuple[str, int, int]) -> tuple[dict, DataFrame | None]:
@@ -146,7 +151,8 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
         try:
             began = time.perf_counter()
             n = sum(k for (r, f), k in sizes.items() if r == repetition and f != fold)
-            fitted = registry.create(model, n).fit(part.where(F.col("fold_id") != fold))
+            train = part.where(F.col("fold_id") != fold)
+            fitted = registry.create(model, n).fit(train.coalesce(tasks) if (tasks := -(-n * width // TASK_BYTES) or 1) < cached else train)
             row["train_time"] = time.perf_counter() - began
             began = time.perf_counter()
             scored = _scored(fitted, part.where(F.col("fold_id") == fold), key)
