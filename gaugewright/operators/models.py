@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.operators import fits
 from gaugewright.operators.scoring import auc_one_vs_rest, fold_metrics
 
 Maker = Callable[[], Estimator]
@@ -129,20 +130,23 @@ def worklist(models: DataFrame, folds: DataFrame, done: DataFrame) -> DataFrame:
 def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *, registry: ModelRegistry | None = None, done: DataFrame | None = None, on_fold: Callable[[dict, DataFrame | None], None] | None = None, sink: str | None = None, parallelism: int = 8) -> tuple[DataFrame, list[dict]]:
     """Predictions (model, repetition_id, fold_id, row_id, y_true, y_pred, proba) of each row by the models of the folds it is tested in, and a row of times for each fit.
 
-    Fits run side by side, ``parallelism`` at a time; each is a job of the cluster. With ``sink``, predictions are
+    Fits run side by side, ``parallelism`` at a time; each is a job of the cluster: on a table that fits a task, of tasks
+    with some trees or classes each, where ``fits`` knows the model, else of Spark ML. With ``sink``, predictions are
     written there in folders by model, repetition and fold, which replace what stood there, else they are kept in memory. ``on_fold`` gets a
     fit's row and its predictions, one at a time. A model that fails has a row with its error, and no predictions.
     """
     registry = registry or default_models()
     spark = rows.sparkSession
-    joined = _vectors(rows).join(folds.select(key, "repetition_id", "fold_id"), key).persist()
+    folds = folds.select(key, "repetition_id", "fold_id").persist()
+    joined = _vectors(rows).join(folds, key).persist()
     models = spark.createDataFrame([(n,) for n in names], "model string")
     # a row for each fit, and for each fold
     work = sorted(worklist(models, folds, done if done is not None else models.withColumn("repetition_id", F.lit(-1)).withColumn("fold_id", F.lit(-1))).collect())
-    sizes = {(r[0], r[1]): r[2] for r in joined.groupBy("repetition_id", "fold_id").count().collect()}
-    width = 8 * (rows.agg(F.max(F.size("features"))).first()[0] or 1)
-    cached = joined.rdd.getNumPartitions()
-    lock = Lock()
+    sizes = {(r[0], r[1]): r[2] for r in rows.select(key).join(folds, key).groupBy("repetition_id", "fold_id").count().collect()}
+    table = fits.collected(rows, folds, key) if work and "label" in rows.columns else None
+    small = fits.Fits(spark, *table, rows.schema[key].dataType.simpleString()) if table else None
+    width = 8 * (len(table[0].x[0]) if table else rows.agg(F.max(F.size("features"))).first()[0] or 1)
+    lock, kept = Lock(), []
 
     def one(item: tuple[str, int, int]) -> tuple[dict, DataFrame | None]:
         model, repetition, fold = item
@@ -151,11 +155,16 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
         try:
             began = time.perf_counter()
             n = sum(k for (r, f), k in sizes.items() if r == repetition and f != fold)
-            train = part.where(F.col("fold_id") != fold)
-            fitted = registry.create(model, n).fit(train.coalesce(tasks) if (tasks := -(-n * width // TASK_BYTES) or 1) < cached else train)
+            made = registry.create(model, n)
+            if small and (planned := fits.plan(made)):
+                given = small.fitted(planned, repetition, fold).persist()
+                given.count()
+            else:
+                given, train = None, part.where(F.col("fold_id") != fold)
+                fitted = made.fit(train.coalesce(tasks) if (tasks := -(-n * width // TASK_BYTES) or 1) < joined.rdd.getNumPartitions() else train)
             row["train_time"] = time.perf_counter() - began
             began = time.perf_counter()
-            scored = _scored(fitted, part.where(F.col("fold_id") == fold), key)
+            scored = _scored(fitted, part.where(F.col("fold_id") == fold), key) if given is None else small.scored(given, planned, repetition, fold)
             if sink:
                 path = f"{sink}/model={model}/repetition_id={repetition}/fold_id={fold}"
                 scored.write.mode("overwrite").parquet(path)
@@ -163,6 +172,9 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
             else:
                 scored = scored.persist()
                 scored.count()
+                kept.append(scored)
+            if given is not None:
+                given.unpersist()
             found = scored.select(F.lit(model).alias("model"), F.lit(repetition).cast("int").alias("repetition_id"), F.lit(fold).cast("int").alias("fold_id"), "*")
             row["eval_time"] = time.perf_counter() - began
         except Exception as e:  # a model that fails doesn't end the run
@@ -175,8 +187,15 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
     with ThreadPool(max(1, min(parallelism, len(work)))) as pool:
         made = pool.map(one, [tuple(w) for w in work], chunksize=1)
     joined.unpersist()
+    folds.unpersist()
     kind = f"model string, repetition_id int, fold_id int, row_id {rows.schema[key].dataType.simpleString()}, y_true string, y_pred string, proba array<double>"
-    return reduce(DataFrame.unionByName, [p for _, p in made if p is not None], spark.createDataFrame([], kind)), [r for r, _ in made]
+    whole = reduce(DataFrame.unionByName, [p for _, p in made if p is not None], spark.createDataFrame([], kind))
+    if kept:  # one table for all fits, as each use of theirs would be a stage for every one
+        whole = whole.coalesce(spark.sparkContext.defaultParallelism).persist()
+        whole.count()
+        for scored in kept:
+            scored.unpersist()
+    return whole, [r for r, _ in made]
 
 
 def measured(predictions: DataFrame) -> DataFrame:
