@@ -17,7 +17,7 @@ def rows(spark):
     return spark.createDataFrame([(i, a, int(b)) for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))], "row long, features array<double>, label long").persist()
 
 
-@pytest.mark.parametrize("name", ["gb", "rf"])
+@pytest.mark.parametrize("name", ["gb", "rf", "svm"])
 def test_no_jobs_for_levels_and_stages(spark, rows, monkeypatch, name):
     """A fold of a small table is fitted without Spark ML, whose jobs took the time; each row is predicted once."""
     monkeypatch.setattr(Estimator, "fit", lambda *_: pytest.fail("a Spark ML fit"))
