@@ -17,7 +17,7 @@ def rows(spark):
     return spark.createDataFrame([(i, a, int(b)) for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))], "row long, features array<double>, label long").persist()
 
 
-@pytest.mark.parametrize("name", ["gb", "rf", "svm"])
+@pytest.mark.parametrize("name", ["rf", "gb", "svm", "dt"])
 def test_no_jobs_for_levels_and_stages(spark, rows, monkeypatch, name):
     """A fold of a small table is fitted without Spark ML, whose jobs took the time; each row is predicted once."""
     monkeypatch.setattr(Estimator, "fit", lambda *_: pytest.fail("a Spark ML fit"))
@@ -29,7 +29,7 @@ def test_no_jobs_for_levels_and_stages(spark, rows, monkeypatch, name):
     assert all((r["proba"] is None) == (name in ("svm", "gb")) for r in got) and all(r["proba"] is None or sum(r["proba"]) == pytest.approx(1) for r in got)
 
 
-@pytest.mark.parametrize("kind", ["boosted"])
+@pytest.mark.parametrize("kind", ["tree", "boosted"])
 def test_same_as_spark(spark, rows, monkeypatch, kind):
     """Predictions alone: Spark ML merges leaves of one prediction, which changes shares."""
     known = models.ModelRegistry()
