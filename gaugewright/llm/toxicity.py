@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewright.llm import textkit
-from gaugewright.llm.shared import written
+from gaugewright.llm.shared import removed, written_at
 
 #: Numbers of first bytes of a word that are hashed besides the whole word; buckets; dimensions; filters of each width.
 HEADS = (4, 5, 6)
@@ -29,6 +30,11 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 #: Texts of the sample that a bucket must be in to have an embedding.
 LEAST_TEXTS = 3
+#: Rows and bytes of texts that one model learns in turn. Of more, parts learn side by side and are averaged after each round.
+PART_ROWS = 8192
+PART_BYTES = 32 << 20
+#: Ranges of buckets in which parts are averaged.
+RANGES = 64
 _PAD = max(WIDTHS)
 _BLOCKS = [(w, k) for w in WIDTHS for k in range(w)]
 
@@ -127,26 +133,38 @@ def _step(model: Model, memory: dict[str, np.ndarray], buckets: np.ndarray, firs
         model.embedding[which] -= rate * grad / np.sqrt(memory["embedding"][which] + 1e-8)
 
 
+def _fresh(rng: np.random.Generator) -> Model:
+    width = len(WIDTHS) * FILTERS
+    return Model(rng.normal(0, 0.005, (BUCKETS, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.3, (DIMENSIONS, len(_BLOCKS) * FILTERS)).astype(np.float32), np.zeros(width, np.float32), rng.normal(0, 0.3, width).astype(np.float32), 0.0)
+
+
+def _memory(model: Model) -> dict[str, np.ndarray]:
+    return {n: np.zeros_like(getattr(model, n)) for n in ("filters", "bias", "weight", "embedding")} | {"offset": 0.0}
+
+
+def _joined(buckets: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words of some texts, and their first words."""
+    some = [buckets[i] for i in rows]
+    return np.concatenate([np.zeros((0, 1 + len(HEADS)), np.int32), *some]), np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
+
+
 def train(texts: pa.Array, label: np.ndarray, share: float, *, steps: int = 1000, batch: int = 32, rate: float = 0.1, seed: int = 7) -> tuple[Model, np.ndarray, np.ndarray]:
     """(model, the rows that calibrated it, their scores); share: of label 1 among all rows that have a label."""
     rng = np.random.default_rng(seed)
     parts = [(b, f) for _, _, b, f in features(texts)]
     buckets = [b[f[i] : f[i + 1]] for b, f in parts for i in range(len(f) - 1)]
-    n, width = len(label), len(WIDTHS) * FILTERS
-    model = Model(rng.normal(0, 0.005, (BUCKETS, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.3, (DIMENSIONS, len(_BLOCKS) * FILTERS)).astype(np.float32), np.zeros(width, np.float32), rng.normal(0, 0.3, width).astype(np.float32), 0.0)
+    n = len(label)
+    model = _fresh(rng)
     times = np.zeros(BUCKETS, np.int64)
     for x in buckets:
         times[np.unique(x)] += 1
     common = times >= LEAST_TEXTS
     model.embedding[~common] = 0
-    memory = {"filters": np.zeros_like(model.filters), "bias": np.zeros(width, np.float32), "weight": np.zeros(width, np.float32), "offset": 0.0, "embedding": np.zeros_like(model.embedding)}
+    memory = _memory(model)
     order = rng.permutation(n)
     kept, aside = order[n // 5 :], order[: n // 5]
 
-    def joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        some = [buckets[i] for i in rows]
-        return np.concatenate([np.zeros((0, 1 + len(HEADS)), np.int32), *some]), np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
-
+    joined = lambda rows: _joined(buckets, rows)
     epochs = max(6, -(-steps * batch // max(len(kept), 1)))
     for epoch in range(epochs):
         for lo in range(0, len(kept), batch):
@@ -193,39 +211,180 @@ def _threshold(score: np.ndarray, label: np.ndarray, otherwise: float) -> float:
     return float(np.clip((s[best] + below) / 2, 0.1, 0.7))
 
 
+_DENSE = ("filters", "bias", "weight")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(part, buckets of each text, labels) of rows (part, text, toxic) in the order of parts."""
+    part, buckets, label = None, [], []
+    for batch in batches:
+        numbers, toxic = batch.column("part").to_numpy(), batch.column("toxic").to_numpy()
+        texts = batch.column("text")
+        found = [b[f[i] : f[i + 1]].copy() for _, _, b, f in features(texts) for i in range(len(f) - 1)]
+        for number, one, y in zip(numbers, found, toxic, strict=True):
+            if number != part and buckets:
+                yield part, buckets, np.array(label, np.float64)
+                buckets, label = [], []
+            part = int(number)
+            buckets.append(one)
+            label.append(y)
+    if buckets:
+        yield part, buckets, np.array(label, np.float64)
+
+
+def _averaged(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, mean change of embedding and memory over the parts that changed them), summed in the order of parts."""
+    kind = np.dtype([("at", np.int32), ("change", np.float32, (2 * DIMENSIONS,))])
+    rows = np.concatenate([np.frombuffer(b, kind) for _, b in sorted(blobs)])
+    at, inverse, times = np.unique(rows["at"], return_inverse=True, return_counts=True)
+    total = np.zeros((len(at), 2 * DIMENSIONS))
+    np.add.at(total, inverse, rows["change"])
+    return at, (total / times[:, None]).astype(np.float32)
+
+
+def train_parts(dealt: DataFrame, n: int, parts: int, *, steps: int = 1000, batch: int = 32, rate: float = 0.1, seed: int = 7) -> Model:
+    """A model from all n rows of dealt (part, text, toxic), each part in one partition, in the order of parts.
+
+    In a round each part takes its steps from the same model; then the mean of the parts' changes is taken, of an
+    embedding over the parts that changed it. Driver and tasks hold the model and one part, however many parts there are.
+    """
+    context = dealt.sparkSession.sparkContext
+    model = _fresh(np.random.default_rng(seed))
+    memory = _memory(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(BUCKETS, np.int64)
+        for _, buckets, _ in _parts(batches):
+            for x in buckets:
+                times[np.unique(x)] += 1
+        at = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(times[at])], ["bucket", "times"])
+
+    met = dealt.mapInArrow(count, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST_TEXTS).select("bucket").toArrow()
+    common = np.zeros(BUCKETS, bool)
+    common[met["bucket"].to_numpy()] = True
+    model.embedding[~common] = 0
+    rounds = max(6, -(-steps * batch * parts // max(n, 1)))
+    for turn in range(rounds):
+        sent = context.broadcast((model, memory, common))
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            for part, buckets, label in _parts(batches):
+                before, held, common = sent.value
+                own = Model(before.embedding.copy(), before.filters.copy(), before.bias.copy(), before.weight.copy(), before.offset)
+                mine = {k: v.copy() if isinstance(v, np.ndarray) else v for k, v in held.items()}
+                order = np.random.default_rng([seed, turn, part]).permutation(len(label))
+                for lo in range(0, len(order), batch):
+                    rows = order[lo : lo + batch]
+                    _step(own, mine, *_joined(buckets, rows), label[rows], common, rate * (1 - turn / rounds))
+                at = np.flatnonzero((mine["embedding"] != held["embedding"]).any(axis=1))
+                found = np.zeros(len(at), np.dtype([("at", np.int32), ("change", np.float32, (2 * DIMENSIONS,))]))
+                found["at"] = at
+                found["change"] = np.concatenate([own.embedding[at] - before.embedding[at], mine["embedding"][at] - held["embedding"][at]], axis=1)
+                cuts = np.searchsorted(at, np.arange(RANGES + 1) * (BUCKETS // RANGES))
+                dense = np.concatenate([*(x.ravel() for k in _DENSE for x in (getattr(own, k), mine[k])), [own.offset, mine["offset"]]]).astype(np.float64)
+                blobs = [(-1, dense.tobytes()), *((r, found[cuts[r] : cuts[r + 1]].tobytes()) for r in range(RANGES))]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in blobs], pa.int64()), pa.array([part] * len(blobs), pa.int64()), pa.array([b for _, b in blobs], pa.binary())], ["range", "part", "changes"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            blobs = list(zip(table["part"].to_pylist(), table["changes"].to_pylist(), strict=True))
+            where = table["range"][0].as_py()
+            if where < 0:
+                out = np.mean([np.frombuffer(b, np.float64) for _, b in sorted(blobs)], axis=0).tobytes()
+                return pa.table({"range": pa.array([where], pa.int64()), "at": pa.array([b""], pa.binary()), "change": pa.array([out], pa.binary())})
+            at, change = _averaged(blobs)
+            return pa.table({"range": pa.array([where], pa.int64()), "at": pa.array([at.tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
+
+        for where, at, change in dealt.mapInArrow(learn, "range long, part long, changes binary").groupBy("range").applyInArrow(merge, "range long, at binary, change binary").collect():  # the model itself
+            if where >= 0:
+                rows, moved = np.frombuffer(at, np.int32), np.frombuffer(change, np.float32).reshape(-1, 2 * DIMENSIONS)
+                model.embedding[rows] += moved[:, :DIMENSIONS]
+                memory["embedding"][rows] += moved[:, DIMENSIONS:]
+                continue
+            dense, lo = np.frombuffer(change, np.float64), 0
+            for name in _DENSE:
+                for x in (getattr(model, name), memory[name]):
+                    x[...] = dense[lo : lo + x.size].reshape(x.shape)
+                    lo += x.size
+            model.offset, memory["offset"] = float(dense[lo]), float(dense[lo + 1])
+        sent.destroy()
+    return model
+
+
 class Judge:
     """A model fitted to labelled documents, with a threshold for each language.
 
-    Learns from the rows of labels (doc_id, toxic) where ``may_learn`` holds and docs has a text: at most
-    ``ones`` and ``zeros`` of each class, those with the least hash of doc_id, at most ``sample_bytes`` of whole
-    texts, of which only the longest are left out. Only texts are inputs of a score; ``lang``, if docs has it, chooses the threshold.
+    Learns from all rows of labels (doc_id, toxic) where ``may_learn`` holds and docs has a text; a fifth of them
+    calibrates. A caller may bound them: at most ``ones`` and ``zeros`` of each class, those with the least hash of doc_id, at
+    most ``sample_bytes`` of whole texts, of which only the longest are left out. Only texts are inputs of a score; ``lang``, if docs has it, chooses the threshold.
     Labels other than 0 and 1 and rows without doc_id teach nothing; a doc_id with both labels counts as 1.
     With labels of one class or none, the score is that class's share (none: 0) and the threshold 0.5.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, may_learn: Column, ones: int, zeros: int, sample_bytes: int):
+    def __init__(self, docs: DataFrame, labels: DataFrame, may_learn: Column, ones: int | None = None, zeros: int | None = None, sample_bytes: int | None = None):
         docs = docs.select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
         known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & may_learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         held = known.agg(F.count("*"), F.sum("toxic")).first()
         share = (held[1] or 0) / held[0] if held[0] else 0.0
-        some = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ones).unionByName(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(zeros))
-        sample = docs.join(F.broadcast(some), "doc_id").withColumn("order", F.xxhash64("doc_id", "text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+        first = lambda toxic, most: known.where(F.col("toxic") == toxic) if most is None else known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = known if ones is None and zeros is None else first(1, ones).unionByName(first(0, zeros))
+        sample = docs.join(some, "doc_id").withColumn("order", F.xxhash64("doc_id", "text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
         # repeated rows of docs teach once, by the least of their hashes and texts; written, as sizes and texts are asked for one after the other
         sample = sample.groupBy("doc_id").agg(F.min(F.struct("order", "text", "lang", "toxic", "bytes")).alias("s")).select("s.*")
-        sample = written(sample, "sample")
-        # no more rows than were asked for
+        sample, path = written_at(sample, "sample")
+        self.model, self.constant, self.thresholds, self.usual = None, share, {}, 0.5
+        n, ones_of, size = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        if sample_bytes is None and (n > PART_ROWS or size > PART_BYTES):
+            if 0 < ones_of < n:
+                self._all(sample, n, ones_of, max(-(-n // PART_ROWS), -(-size // PART_BYTES)), share)
+        else:
+            self._some(sample, size if sample_bytes is None else sample_bytes, share)
+        removed(docs.sparkSession, path)
+        textkit.released()
+
+    def _all(self, sample: DataFrame, n: int, ones: int, parts: int, share: float) -> None:
+        """Learn from and calibrate by all rows, in tasks."""
+        aside = F.pmod(F.xxhash64("order"), F.lit(5)) == 0
+        left = sample.where(~aside).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        if not 0 < left[1] < left[0]:  # too few of a class to leave any aside
+            left, aside = (n, ones), F.lit(True)
+            kept = sample
+        else:
+            kept = sample.where(~aside)
+        dealt = kept.select(F.pmod("order", F.lit(parts)).alias("part"), "text", "toxic", "order").repartition(parts, "part").sortWithinPartitions("part", "order").persist(StorageLevel.DISK_ONLY)
+        self.model = train_parts(dealt, left[0], parts)
+        dealt.unpersist()
+        sent = sample.sparkSession.sparkContext.broadcast(self.model)
+
+        def logit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = np.zeros(batch.num_rows)
+                for lo, hi, buckets, first in features(batch.column("text")):
+                    out[lo:hi] = logits(sent.value, buckets, first)
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(np.round(np.clip(out, -40, 40), 3))], ["lang", "toxic", "raw"])
+
+        # counts by rounded logit: as many rows at most as there are such logits, for each language and label
+        found = sample.where(aside).select("text", F.coalesce("lang", F.lit("")).alias("lang"), "toxic").mapInArrow(textkit.tidy(logit), "lang string, toxic int, raw double").groupBy("lang", "toxic", "raw").count().orderBy("lang", "toxic", "raw").toArrow()
+        times = found["count"].to_numpy()
+        raw, label, lang = np.repeat(found["raw"].to_numpy(), times), np.repeat(found["toxic"].to_numpy().astype(np.float64), times), np.repeat(np.array(found["lang"].to_pylist(), dtype=object), times)
+        _calibrate(self.model, raw, label, share, ones / n)
+        self._cut(scores(self.model, raw), label, lang)
+
+    def _cut(self, found: np.ndarray, label: np.ndarray, lang: np.ndarray) -> None:
+        self.usual = _threshold(found, label, 0.3)
+        self.thresholds = {x: _threshold(found[lang == x], label[lang == x], self.usual) for x in sorted(set(lang.tolist()))}
+
+    def _some(self, sample: DataFrame, sample_bytes: int, share: float) -> None:
+        """Learn from rows that one model learns in turn."""
         sizes = sample.select("order", "bytes").toPandas().sort_values(["bytes", "order"])
         fits = sizes[sizes["bytes"].cumsum() <= sample_bytes]
         longest, last = (int(fits[c].iloc[-1]) for c in ("bytes", "order")) if len(fits) else (-1, 0)
         rows = sample.where((F.col("bytes") < longest) | (F.col("bytes") == longest) & (F.col("order") <= last)).select("text", "lang", "toxic", "order").toArrow()
         rows = rows.take(pa.array(np.argsort(rows["order"].to_numpy(), kind="stable")))
         label, lang = rows["toxic"].to_numpy().astype(np.float64), np.array(rows["lang"].fill_null("").to_pylist(), dtype=object)
-        self.model, self.constant, self.thresholds, self.usual = None, share, {}, 0.5
         if len(np.unique(label)) == 2:
             self.model, aside, found = train(rows["text"].combine_chunks(), label, share)
-            self.usual = _threshold(found, label[aside], 0.3)
-            self.thresholds = {x: _threshold(found[lang[aside] == x], label[aside][lang[aside] == x], self.usual) for x in sorted(set(lang[aside].tolist()))}
-        textkit.released()
+            self._cut(found, label[aside], lang[aside])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.constant)
@@ -238,7 +397,7 @@ class Judge:
         return np.array([self.thresholds.get(x or "", self.usual) for x in langs], np.float64)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, *, ones: int = 2000, zeros: int = 4000, sample_bytes: int = 64 << 20) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, *, ones: int | None = None, zeros: int | None = None, sample_bytes: int | None = None) -> DataFrame:
     """(doc_id, score, threshold, toxic) for each row of docs; score is a Judge's calibrated probability of label 1, toxic whether it reaches its language's threshold.
 
     A null or empty text has the score of no words. Repeated rows are scored each; an empty table gives an
@@ -255,7 +414,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, *, ones: int
     return docs.mapInArrow(textkit.tidy(score), T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column, *, ones: int = 2000, zeros: int = 4000, sample_bytes: int = 64 << 20) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column, *, ones: int | None = None, zeros: int | None = None, sample_bytes: int | None = None) -> DataFrame:
     """The rows of docs, with all columns, whose score is below their language's threshold.
 
     A null or empty text has the score of no words; repeated rows stay or go each, as rows of one text and

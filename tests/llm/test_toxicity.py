@@ -96,3 +96,21 @@ def test_long_texts_do_not_cut_the_sample(spark, documents, monkeypatch):
     docs = documents([(i, t) for i, t, _ in rows] + [(1000 + i, "long " * 60_000) for i in range(8)])
     tox.Judge(docs, labels, F.lit(True), 2000, 4000, 1 << 18)
     assert seen == [200]
+
+
+def test_learns_from_all_labels(spark, documents, monkeypatch):
+    """Parts of any number learn side by side from every label: a word that only rows beyond the first ones have counts too."""
+    monkeypatch.setattr(tox, "PART_ROWS", 300)
+    rows, learned = corpus(1200), []
+    trained = tox.train_parts
+    monkeypatch.setattr(tox, "train_parts", lambda dealt, n, parts: learned.append((n, dealt.count(), parts)) or trained(dealt, n, parts, steps=80))
+    docs = documents([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 1000], "doc_id long, toxic int")
+    judge = tox.Judge(docs, labels, F.lit(True))
+    (n, dealt, parts) = learned[0]
+    assert n == dealt and 700 < n < 900 and parts == 4
+    score = judge.scores(pa.array([t for i, t, _ in rows if i >= 1000]))
+    y = np.array([y for i, _, y in rows if i >= 1000])
+    assert ((score >= 0.3) == y).mean() > 0.95
+    again = tox.Judge(docs.repartition(7), labels, F.lit(True)).scores(pa.array([t for i, t, _ in rows if i >= 1000]))
+    assert (again == score).all()
