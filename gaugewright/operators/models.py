@@ -133,7 +133,8 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
     Fits run side by side, ``parallelism`` at a time; each is a job of the cluster: on a table that fits a task, of tasks
     with some trees or classes each, where ``fits`` knows the model, else of Spark ML. With ``sink``, predictions are
     written there in folders by model, repetition and fold, which replace what stood there, else they are kept in memory. ``on_fold`` gets a
-    fit's row and its predictions, one at a time. A model that fails has a row with its error, and no predictions.
+    fit's row and its predictions, one at a time; there a model that fails has a row with its error, and no predictions.
+    Without ``on_fold`` nobody would be told: the first failure ends the run and is raised.
     """
     registry = registry or default_models()
     spark = rows.sparkSession
@@ -146,10 +147,12 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
     table = fits.collected(rows, folds, key) if work and "label" in rows.columns else None
     small = fits.Fits(spark, *table, rows.schema[key].dataType.simpleString()) if table else None
     width = 8 * (len(table[0].x[0]) if table else rows.agg(F.max(F.size("features"))).first()[0] or 1)
-    lock, kept = Lock(), []
+    lock, kept, failed = Lock(), [], []
 
     def one(item: tuple[str, int, int]) -> tuple[dict, DataFrame | None]:
         model, repetition, fold = item
+        if failed:
+            return {}, None
         row, found = {"model": model, "repetition_id": int(repetition), "fold_id": int(fold), "error": None}, None
         part = joined.where(F.col("repetition_id") == repetition)
         try:
@@ -177,8 +180,10 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
                 given.unpersist()
             found = scored.select(F.lit(model).alias("model"), F.lit(repetition).cast("int").alias("repetition_id"), F.lit(fold).cast("int").alias("fold_id"), "*")
             row["eval_time"] = time.perf_counter() - began
-        except Exception as e:  # a model that fails doesn't end the run
+        except Exception as e:  # a model that fails doesn't end a run that is told of it
             row["error"] = f"{type(e).__name__}: {str(e)[:200]}"
+            if not on_fold:
+                failed.append((f"{model} failed in repetition {repetition}, fold {fold}: {row['error']}", e))
         if on_fold:
             with lock:
                 on_fold(row, found)
@@ -188,6 +193,10 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
         made = pool.map(one, [tuple(w) for w in work], chunksize=1)
     joined.unpersist()
     folds.unpersist()
+    if failed:
+        for scored in kept:
+            scored.unpersist()
+        raise RuntimeError(failed[0][0]) from failed[0][1]
     kind = f"model string, repetition_id int, fold_id int, row_id {rows.schema[key].dataType.simpleString()}, y_true string, y_pred string, proba array<double>"
     whole = reduce(DataFrame.unionByName, [p for _, p in made if p is not None], spark.createDataFrame([], kind))
     if kept:  # one table for all fits, as each use of theirs would be a stage for every one
@@ -218,10 +227,10 @@ def run_fold(rows: DataFrame, folds: DataFrame, key: str, name: str, repetition:
 
 
 def cross_validate(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *, registry: ModelRegistry | None = None, done: DataFrame | None = None, on_fold: Callable[[dict], None] | None = None, sink: str | None = None, parallelism: int = 8) -> DataFrame:
-    """Metrics of each model and fold over rows (key, features as an array, label); a model that fails has a row with its error.
+    """Metrics of each model and fold over rows (key, features as an array, label).
 
-    ``done`` (model, repetition_id, fold_id) names what to leave out. ``on_fold`` gets each row as it is done; without
-    it, metrics of all folds come from one pass over their predictions. ``sink`` keeps the predictions, as
+    ``done`` (model, repetition_id, fold_id) names what to leave out. ``on_fold`` gets each row as it is done, and a model
+    that fails has a row with its error; without it, a failure is raised, and metrics of all folds come from one pass over their predictions. ``sink`` keeps the predictions, as
     out_of_fold does.
     """
     rows_of: list[dict] = []
@@ -232,9 +241,11 @@ def cross_validate(rows: DataFrame, folds: DataFrame, key: str, names: list[str]
         on_fold(row)
 
     predictions, rows_of = out_of_fold(rows, folds, key, names, registry=registry, done=done, on_fold=told if on_fold else None, sink=sink, parallelism=parallelism)
-    if not on_fold and any(r["error"] is None for r in rows_of):
+    if not on_fold and rows_of:
         by = {tuple(r[k] for k in _FOLD): r.asDict() for r in measured(predictions).collect()}  # a row for each fit
-        rows_of = [r | by.get(tuple(r[k] for k in _FOLD), {}) for r in rows_of]
+        if lost := [at for r in rows_of if (at := tuple(r[k] for k in _FOLD)) not in by]:
+            raise RuntimeError(f"no predictions of {lost[:5]}")
+        rows_of = [r | by[tuple(r[k] for k in _FOLD)] for r in rows_of]
     schema = "model string, repetition_id int, fold_id int, error string, accuracy double, precision double, recall double, f1 double, mcc double, roc_auc double, n_samples long, n_classes long, train_time double, eval_time double"
     columns = [c.split()[0] for c in schema.split(", ")]
     return rows.sparkSession.createDataFrame([tuple(r.get(n) for n in columns) for r in rows_of], schema)
