@@ -19,3 +19,7 @@ def _fails(spark, monkeypatch, name):
 
 def test_forest(spark, monkeypatch):
     _fails(spark, monkeypatch, "model_cv_forest")
+
+
+def test_boosted(spark, monkeypatch):
+    _fails(spark, monkeypatch, "model_cv_gbt_ovr")
