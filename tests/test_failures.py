@@ -23,3 +23,8 @@ def test_forest(spark, monkeypatch):
 
 def test_boosted(spark, monkeypatch):
     _fails(spark, monkeypatch, "model_cv_gbt_ovr")
+
+
+def test_tree(spark, monkeypatch):
+    _fails(spark, monkeypatch, "model_cv_tree")
+    _fails(spark, monkeypatch, "out_of_fold_coverage")
