@@ -13,6 +13,7 @@ from multiprocessing.pool import ThreadPool
 from threading import Lock
 from typing import Any
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -130,8 +131,8 @@ def worklist(models: DataFrame, folds: DataFrame, done: DataFrame) -> DataFrame:
 def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *, registry: ModelRegistry | None = None, done: DataFrame | None = None, on_fold: Callable[[dict, DataFrame | None], None] | None = None, sink: str | None = None, parallelism: int = 8) -> tuple[DataFrame, list[dict]]:
     """Predictions (model, repetition_id, fold_id, row_id, y_true, y_pred, proba) of each row by the models of the folds it is tested in, and a row of times for each fit.
 
-    Fits run side by side, ``parallelism`` at a time; each is a job of the cluster: on a table that fits a task, of tasks
-    with some trees or classes each, where ``fits`` knows the model, else of Spark ML. With ``sink``, predictions are
+    On a table that fits a task, models that ``fits`` knows are fitted by tasks with some trees or classes each, all fits in
+    one job, or in a job each with ``on_fold`` or ``sink``. Other fits are jobs of Spark ML. Jobs run side by side, ``parallelism`` at a time. With ``sink``, predictions are
     written there in folders by model, repetition and fold, which replace what stood there, else they are kept in memory. ``on_fold`` gets a
     fit's row and its predictions, one at a time; there a model that fails has a row with its error, and no predictions.
     Without ``on_fold`` nobody would be told: the first failure ends the run and is raised.
@@ -139,15 +140,32 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
     registry = registry or default_models()
     spark = rows.sparkSession
     folds = folds.select(key, "repetition_id", "fold_id").persist()
-    joined = _vectors(rows).join(folds, key).persist()
     models = spark.createDataFrame([(n,) for n in names], "model string")
     # a row for each fit, and for each fold
-    work = sorted(worklist(models, folds, done if done is not None else models.withColumn("repetition_id", F.lit(-1)).withColumn("fold_id", F.lit(-1))).collect())
-    sizes = {(r[0], r[1]): r[2] for r in rows.select(key).join(folds, key).groupBy("repetition_id", "fold_id").count().collect()}
+    work = [tuple(w) for w in sorted(worklist(models, folds, done if done is not None else models.withColumn("repetition_id", F.lit(-1)).withColumn("fold_id", F.lit(-1))).collect())]
     table = fits.collected(rows, folds, key) if work and "label" in rows.columns else None
     small = fits.Fits(spark, *table, rows.schema[key].dataType.simpleString()) if table else None
-    width = 8 * (len(table[0].x[0]) if table else rows.agg(F.max(F.size("features"))).first()[0] or 1)
+    if table:
+        sizes = {(r, int(f)): int(n) for r, of in enumerate(table[0].fold) for f, n in zip(*np.unique(of[of >= 0], return_counts=True), strict=True)}
+        width = 8 * table[0].x.shape[1]
+    else:
+        sizes = {(r[0], r[1]): r[2] for r in rows.select(key).join(folds, key).groupBy("repetition_id", "fold_id").count().collect()}
+        width = 8 * (rows.agg(F.max(F.size("features"))).first()[0] or 1)
+    del table
+    joined = _vectors(rows).join(folds, key).persist()
     lock, kept, failed = Lock(), [], []
+    kind = f"model string, repetition_id int, fold_id int, row_id {rows.schema[key].dataType.simpleString()}, y_true string, y_pred string, proba array<double>"
+
+    def ready(model: str, repetition: int, fold: int) -> tuple[int, Estimator, dict[str, Any] | None]:
+        """Rows to fit to, the estimator, and its parameters if it is fitted in tasks."""
+        n = sum(k for (r, f), k in sizes.items() if r == repetition and f != fold)
+        made = registry.create(model, n)
+        return n, made, fits.plan(made) if small else None
+
+    def told(row: dict, e: Exception) -> None:
+        row["error"] = f"{type(e).__name__}: {str(e)[:200]}"
+        if not on_fold:
+            failed.append((f"{row['model']} failed in repetition {row['repetition_id']}, fold {row['fold_id']}: {row['error']}", e))
 
     def one(item: tuple[str, int, int]) -> tuple[dict, DataFrame | None]:
         model, repetition, fold = item
@@ -157,54 +175,71 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, key: str, names: list[str], *
         part = joined.where(F.col("repetition_id") == repetition)
         try:
             began = time.perf_counter()
-            n = sum(k for (r, f), k in sizes.items() if r == repetition and f != fold)
-            made = registry.create(model, n)
-            if small and (planned := fits.plan(made)):
-                given = small.fitted(planned, repetition, fold).persist()
+            n, made, planned = ready(*item)
+            if planned:
+                given = small.predictions([(*item, planned)]).drop("train_time", "eval_time").persist()
                 given.count()
+                scored = given.drop(*_FOLD)
             else:
                 given, train = None, part.where(F.col("fold_id") != fold)
                 fitted = made.fit(train.coalesce(tasks) if (tasks := -(-n * width // TASK_BYTES) or 1) < joined.rdd.getNumPartitions() else train)
+                scored = _scored(fitted, part.where(F.col("fold_id") == fold), key)
             row["train_time"] = time.perf_counter() - began
             began = time.perf_counter()
-            scored = _scored(fitted, part.where(F.col("fold_id") == fold), key) if given is None else small.scored(given, planned, repetition, fold)
             if sink:
                 path = f"{sink}/model={model}/repetition_id={repetition}/fold_id={fold}"
                 scored.write.mode("overwrite").parquet(path)
                 scored = spark.read.schema(scored.schema).parquet(path)
+                if given is not None:
+                    given.unpersist()
             else:
-                scored = scored.persist()
+                scored = (scored if given is None else given).persist()
                 scored.count()
                 kept.append(scored)
-            if given is not None:
-                given.unpersist()
-            found = scored.select(F.lit(model).alias("model"), F.lit(repetition).cast("int").alias("repetition_id"), F.lit(fold).cast("int").alias("fold_id"), "*")
+            found = scored.select(F.lit(model).alias("model"), F.lit(repetition).cast("int").alias("repetition_id"), F.lit(fold).cast("int").alias("fold_id"), "row_id", "y_true", "y_pred", "proba")
             row["eval_time"] = time.perf_counter() - began
         except Exception as e:  # a model that fails doesn't end a run that is told of it
-            row["error"] = f"{type(e).__name__}: {str(e)[:200]}"
-            if not on_fold:
-                failed.append((f"{model} failed in repetition {repetition}, fold {fold}: {row['error']}", e))
+            told(row, e)
         if on_fold:
             with lock:
                 on_fold(row, found)
         return row, found
 
-    with ThreadPool(max(1, min(parallelism, len(work)))) as pool:
-        made = pool.map(one, [tuple(w) for w in work], chunksize=1)
-    joined.unpersist()
-    folds.unpersist()
+    def together() -> tuple[DataFrame | None, list[dict]]:
+        """Predictions and rows of the fits in tasks, all in one job; the other fits stay in work."""
+        items, rest = [], []
+        for item in work:
+            try:
+                planned = ready(*item)[2]
+            except Exception as e:
+                told({"model": item[0], "repetition_id": item[1], "fold_id": item[2]}, e)
+                return None, []
+            (items.append((*item, planned)) if planned else rest.append(item))
+        if not items:
+            return None, []
+        scored = small.predictions(items).persist()
+        times = {tuple(r[:3]): (r[3], r[4]) for r in scored.groupBy(*_FOLD).agg(F.max("train_time"), F.max("eval_time")).collect()}
+        work[:] = rest
+        return scored, [{"model": m, "repetition_id": r, "fold_id": f, "error": None} | dict(zip(("train_time", "eval_time"), times.get((m, r, f), (None, None)), strict=True)) for m, r, f, _ in items]
+
+    try:
+        first, times = together() if small and not on_fold and not sink else (None, [])
+        with ThreadPool(max(1, min(parallelism, len(work)))) as pool:
+            made = pool.map(one, [] if failed else work, chunksize=1)
+    finally:
+        joined.unpersist()
+        folds.unpersist()
     if failed:
         for scored in kept:
             scored.unpersist()
         raise RuntimeError(failed[0][0]) from failed[0][1]
-    kind = f"model string, repetition_id int, fold_id int, row_id {rows.schema[key].dataType.simpleString()}, y_true string, y_pred string, proba array<double>"
-    whole = reduce(DataFrame.unionByName, [p for _, p in made if p is not None], spark.createDataFrame([], kind))
+    whole = reduce(DataFrame.unionByName, [p for _, p in made if p is not None], spark.createDataFrame([], kind) if first is None else first.drop("train_time", "eval_time"))
     if kept:  # one table for all fits, as each use of theirs would be a stage for every one
         whole = whole.coalesce(spark.sparkContext.defaultParallelism).persist()
         whole.count()
         for scored in kept:
             scored.unpersist()
-    return whole, [r for r, _ in made]
+    return whole, times + [r for r, _ in made]
 
 
 def measured(predictions: DataFrame) -> DataFrame:

@@ -80,3 +80,19 @@ def test_other_tables_and_models(spark, rows, monkeypatch):
     assert fits.plan(DecisionTreeClassifier(impurity="entropy")) is None and fits.plan(GBTClassifier()) is None
     monkeypatch.setattr(fits, "FIT_BYTES", 1000)
     assert fits.collected(rows, assigned, "row") is None
+
+
+def test_one_job_for_all_folds(spark, rows):
+    """Fits to a small table are one table's plan, whatever the number of folds; the driver holds features no wider than they are."""
+    narrow = rows.withColumn("features", F.col("features").cast("array<float>")).orderBy(F.desc("row"))
+    assigned = folds.folds(narrow, "row", "label", n_splits=3, n_repetitions=2)
+    table, keys = fits.collected(narrow, assigned, "row")
+    want = narrow.orderBy("row").collect()
+    assert table.x.dtype == np.float32 and keys.to_pylist() == [r["row"] for r in want]
+    assert table.x.tolist() == [r["features"] for r in want] and table.y.tolist() == [r["label"] for r in want]
+    assert {(r["row"], r["repetition_id"], r["fold_id"]) for r in assigned.collect()} == {(i, k, int(table.fold[k, i])) for i in range(240) for k in range(2)}
+    assert fits.collected(narrow, assigned.unionByName(assigned.limit(1)), "row") is None
+    found, times = models.out_of_fold(narrow, assigned, "row", ["dt", "svm"])
+    assert "Union" not in found._jdf.queryExecution().logical().toString()
+    assert found.groupBy("model", "repetition_id").agg(F.countDistinct("row_id").alias("n")).where("n = 240").count() == 4 == found.count() / 240
+    assert len(times) == 12 and all(t["error"] is None and t["train_time"] > 0 and t["eval_time"] > 0 for t in times)
