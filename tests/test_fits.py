@@ -96,3 +96,16 @@ def test_one_job_for_all_folds(spark, rows):
     assert "Union" not in found._jdf.queryExecution().logical().toString()
     assert found.groupBy("model", "repetition_id").agg(F.countDistinct("row_id").alias("n")).where("n = 240").count() == 4 == found.count() / 240
     assert len(times) == 12 and all(t["error"] is None and t["train_time"] > 0 and t["eval_time"] > 0 for t in times)
+
+
+def test_half_the_sums_of_boosted_trees(monkeypatch):
+    """Rows are counted once for all trees, and of two children the smaller alone is summed: three passes of all columns a tree instead of six."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 6))
+    y = x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=4000) > 0
+    codes = fits.binned(x, [fits.thresholds(c, 32) for c in x.T])
+    read, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda a, *b, **c: (read.append(len(a)), plain(a, *b, **c))[1])
+    margins = fits.boosted(codes, y, codes, 20, 3, 0.1, 32)
+    assert ((margins > 0) == y).mean() > 0.7
+    assert sum(read) < 20 * 6 * 4000 * 5
