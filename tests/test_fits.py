@@ -109,3 +109,24 @@ def test_half_the_sums_of_boosted_trees(monkeypatch):
     margins = fits.boosted(codes, y, codes, 20, 3, 0.1, 32)
     assert ((margins > 0) == y).mean() > 0.7
     assert sum(read) < 20 * 6 * 4000 * 5
+
+
+def test_repeated_rows_are_one(monkeypatch):
+    """A forest's tree from how often rows were drawn, by either way to split, is that from the rows themselves; only drawn rows are sorted."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(3000, 5)).round(1), rng.integers(0, 4, 3000)
+    fold = np.where(np.arange(3000) < 600, 1, 0)[None, :].astype(np.int32)
+    made = {"kind": "RandomForestClassifier", "numTrees": 2, "maxDepth": 30, "maxBins": 32, "seed": 7}
+    read, plain = [], fits._best
+    monkeypatch.setattr(fits, "_best", lambda codes, rows, *a: (read.append(len(rows)), plain(codes, rows, *a))[1])
+    out = fits.part(fits.Table(x, y, fold), made, 0, 1, 0)
+    assert max(read) < 0.7 * 2400
+    known = fold[0] == 0
+    cuts = [fits.thresholds(c, 32) for c in x[known].T]
+    codes, seen = fits.binned(x[known], cuts), fits.binned(x[~known], cuts)
+    want = np.zeros_like(out)
+    for t in range(2):
+        draws = np.random.default_rng([7, 0, 1, t])
+        rows = draws.integers(0, 2400, 2400)
+        want += fits.grow(codes[:, rows], y[known][rows], 4, 30, 3, draws)(seen)
+    assert np.array_equal(out, want)
